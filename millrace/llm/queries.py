@@ -1,9 +1,27 @@
 """The operators' queries over the driver's tables, and SQL where SQL can state the result."""
 
 from .simhash import op1_simhash
+from .substring import op5_substring
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op5_substring": op5_substring,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_substring": r"""
+        WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        at AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM docs WHERE len(ws) >= 20),
+        windows AS (SELECT doc_id, i, array_to_string(ws[i : i + 19], ' ') AS key FROM at),
+        firsts AS (SELECT key, min(struct_pack(d := doc_id, s := i)) AS f FROM windows GROUP BY key),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p
+            FROM windows JOIN firsts USING (key) WHERE struct_pack(d := doc_id, s := i) > f),
+        words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM docs),
+        kept AS (
+            SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS k, count(*) AS n
+            FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+        FROM docs LEFT JOIN kept USING (doc_id)
+    """,
+}
