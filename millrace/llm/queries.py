@@ -11,8 +11,8 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op5_substring": r"""
         WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-        at AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM docs WHERE len(ws) >= 20),
-        windows AS (SELECT doc_id, i, array_to_string(ws[i : i + 19], ' ') AS key FROM at),
+        starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM docs WHERE len(ws) >= 20),
+        windows AS (SELECT doc_id, i, array_to_string(ws[i : i + 19], ' ') AS key FROM starts),
         firsts AS (SELECT key, min(struct_pack(d := doc_id, s := i)) AS f FROM windows GROUP BY key),
         gone AS (
             SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p
