@@ -23,7 +23,7 @@ from .common import discard, stored
 
 WINDOW, GRAM = 20, 6
 #: Windows that a map task holds at a time, and bytes of stored input to a hash range.
-HELD, RANGE_BYTES = 1 << 20, 8 << 20
+HELD, RANGE_BYTES = 1 << 18, 2 << 20
 MIX, STEP, SPREAD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15), np.uint64(0x94D049BB133111EB)
 #: Kinds of rows that meet in a range: fingerprints of the batch, spans already known to repeat, fingerprints of a run.
 NEW, SPAN, RUN = 0, 1, 2
