@@ -1,11 +1,17 @@
 """The operators' queries over the driver's tables, and SQL where SQL can state the result."""
 
+from .language import op2_language
+from .repetition import op10_repetition
 from .simhash import op1_simhash
+from .sitetree import op3_sitetree
 from .substring import op5_substring
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_language": op2_language,
+    "op3_sitetree": op3_sitetree,
     "op5_substring": op5_substring,
+    "op10_repetition": op10_repetition,
 }
 
 ORACLE_SQL: dict[str, str] = {
