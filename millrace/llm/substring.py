@@ -53,7 +53,7 @@ def fingerprints(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     hash64 = xxhash.xxh64_intdigest
     h = np.array([hash64(w) for w in words], np.uint64)
     grams = _mixed(_rolled(h, GRAM))
-    anchor = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - GRAM + 1).min(axis=1)
+    anchor = _mixed(np.lib.stride_tricks.sliding_window_view(grams, WINDOW - GRAM + 1).min(axis=1))  # else ranges of small hashes fill
     return anchor, (_mixed(_rolled(h, WINDOW)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -222,6 +222,12 @@ class FingerprintIndex:
             discard(run)
         self.runs = [whole]
 
+    def drop(self) -> None:
+        """Remove the runs' files."""
+        for run in self.runs:
+            discard(run)
+        self.runs = []
+
 
 def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -265,10 +271,10 @@ def range_bits(docs: DataFrame) -> int:
     return max(6, min(24, math.ceil(math.log2(max(size, 1) / RANGE_BYTES))))
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2, fanout: int = 4, digest: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cuts: tuple[float, ...] = (0.25,), fanout: int = 4, digest: bool = False) -> DataFrame:
     """docs with every word removed that lies in a window which also starts earlier: at a smaller id, or before in its row.
 
-    The batches are ranges of the id, taken in order, each against the runs of those before. Columns: docs' own, with the
+    The batches are ranges of the id, cut at these quantiles and taken in order, each against the runs of those before. Columns: docs' own, with the
     text column replaced by the kept words joined by one space (a row that loses nothing keeps its text as it is), then
     _words and _removed. digest=True returns _out, the SHA-256 of the kept words joined by one space, in place of the text.
     A null text has no words and stays null; texts of under 20 words have no window and stay. Rows that share an id are one
@@ -279,14 +285,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = [c for c in docs.columns if c != text_col]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)], F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     known = rows.where("_id IS NOT NULL").select("_id", "_text")
-    cuts = sorted(set(known.approxQuantile("_id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
+    at = sorted(set(known.approxQuantile("_id", list(cuts), 0.01))) if cuts else []
     index = FingerprintIndex(spark, range_bits(docs), fanout)
     found = None
-    for k, (lo, hi) in enumerate(zip([None, *cuts], [*cuts, None])):
+    for k, (lo, hi) in enumerate(zip([None, *at], [*at, None])):
         part = known if lo is None else known.where(F.col("_id") > int(lo))
         part = part if hi is None else part.where(F.col("_id") <= int(hi))
-        spans = index.insert(part, keep=k < len(cuts))
+        spans = index.insert(part, keep=k < len(at))
         found = spans if found is None else found.union(spans)
+    index.drop()
     spans = found.mapInArrow(_span_rows, "_span_id long, start int, count int").groupBy("_span_id").agg(F.collect_list(F.struct("start", "count")).alias("_spans"))
     spans = stored(spans, "spans")
     joined = rows.join(spans, rows._id == spans._span_id, "left").drop("_id", "_span_id")
