@@ -1,6 +1,9 @@
 """The operators' queries over the driver's tables, and SQL where SQL can state the result."""
 
+from .forest import op8_forest
+from .hmm import op4_hmm
 from .language import op2_language
+from .packing import op6_packing
 from .repetition import op10_repetition
 from .simhash import op1_simhash
 from .sitetree import op3_sitetree
@@ -10,7 +13,10 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_language": op2_language,
     "op3_sitetree": op3_sitetree,
+    "op4_hmm": op4_hmm,
     "op5_substring": op5_substring,
+    "op6_packing": op6_packing,
+    "op8_forest": op8_forest,
     "op10_repetition": op10_repetition,
 }
 
