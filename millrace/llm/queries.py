@@ -1,5 +1,6 @@
 """The operators' queries over the driver's tables, and SQL where SQL can state the result."""
 
+from . import licences, mixing
 from .forest import op8_forest
 from .hmm import op4_hmm
 from .language import op2_language
@@ -16,11 +17,15 @@ QUERIES = {
     "op4_hmm": op4_hmm,
     "op5_substring": op5_substring,
     "op6_packing": op6_packing,
+    "op7_licences": licences.op7_licences,
     "op8_forest": op8_forest,
+    "op9_mixing": mixing.op9_mixing,
     "op10_repetition": op10_repetition,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_licences": licences.SQL,
+    "op9_mixing": mixing.SQL,
     "op5_substring": r"""
         WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM docs WHERE len(ws) >= 20),
