@@ -1,24 +1,54 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences: five stages, each over all that the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm.simhash import near_dedup
+from millrace.llm import language, mixing, packing, simhash, substring
+from millrace.llm.common import stored
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID, learned from the rows that name a language. Rows without a letter go; the others take the predicted lang.
+
+    Where no row names a language, rows with a letter keep their null.
+    """
+    model = language.fit(docs.where("lang IS NOT NULL"))
+    out = language.identify(docs, model, lang_out="_lang_pred", score_out="_score")
+    if not model.families:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return out.where("_lang_pred <> 'und'").select(*[F.col("_lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup(docs)
+    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8."""
+    return simhash.near_dedup(docs, shingle=5, least=0.8)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of words seen earlier are cut out; a document of which nothing is left goes. n_chars follows the text."""
+    out = substring.substring_dedup(docs).where("_removed < _words OR _words = 0")
+    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
-STAGES = [("simhash near-dedup", simhash_stage)]
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn with probabilities that bring source, language and topic to their target weights."""
+    return mixing.mix(docs).where("_kept").select(*docs.columns)
 
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the token sequences, with their places in the packed sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("language ID", language_stage), ("SimHash near-dedup", simhash_stage), ("substring dedup", substring_stage), ("mixing to target weights", mixing_stage), ("packing", packing_stage)]
+
+#: SQL has neither the language model nor the tokenizer; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.llm.common import stored
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), "pipeline")

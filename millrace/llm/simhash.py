@@ -2,12 +2,15 @@
 
 Every distinct fingerprint gets a row of Hamming distances to many reference fingerprints. By the triangle inequality two
 fingerprints at most k bits apart differ by at most k in every coordinate of that table, so pairs with a larger difference
-anywhere are discarded before the fingerprints themselves are compared. Which rows of the table meet is settled without loss
-by agreement on blocks of bits: k differing bits touch at most k blocks, so with k + 2 blocks some two of them agree.
+anywhere are discarded before the fingerprints themselves are compared. Which rows of the table meet is settled by agreement
+on bits. For few differing bits that is without loss: k of them touch at most k blocks, so of k + 2 blocks some two agree.
+For a similarity, whose bits are too many for that, fingerprints are longer and tables of sampled bits are as many as
+bring every pair at that similarity together with a stated probability.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -20,39 +23,56 @@ from pyspark.sql import functions as F
 from .common import Forest, components, pair_blocks, stored
 
 BITS = 64
+GOLDEN, MIX, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """64 bits; a bit is set if it is set in over half of the shingles' hashes. No words: 0."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of every run of `shingle` lower-case words joined by a space; of the whole sequence if it is shorter."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     k = min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     hash64 = xxhash.xxh64_intdigest
-    hashes = np.array([hash64(joined[s:e], 42) for s, e in zip(starts, ends[k - 1 :].tolist())], np.uint64)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 16384):
-        ones += np.unpackbits(hashes[at : at + 16384].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return np.array([hash64(joined[s:e], 42) for s, e in zip(starts, ends[k - 1 :].tolist())], np.uint64)
 
 
-def references(count: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 2**64, count, dtype=np.uint64)
+def fingerprint(text: bytes, shingle: int, words: int = 1) -> bytes:
+    """64 bits a word; a bit is set if it is set in over half of the hashes. No words: all zero.
+
+    The first 64 bits are those of the hashes themselves, further ones those of the hashes mixed anew.
+    """
+    hashes = shingle_hashes(text, shingle)
+    ones = np.zeros(BITS * words, np.int64)
+    for at in range(0, len(hashes), 8192):
+        part = hashes[at : at + 8192]
+        wide = np.empty((len(part), words), "<u8")
+        wide[:, 0] = part
+        for w in range(1, words):
+            x = part + GOLDEN * np.uint64(w)
+            x = (x ^ (x >> np.uint64(30))) * MIX
+            x = (x ^ (x >> np.uint64(27))) * SPREAD
+            wide[:, w] = x ^ (x >> np.uint64(31))
+        ones += np.unpackbits(wide.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes()
+
+
+def references(count: int, words: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 2**64, (count, words), dtype=np.uint64)
 
 
 def distances(fingerprints: np.ndarray, refs: np.ndarray) -> np.ndarray:
     """The pivot table: a row of distances for each fingerprint."""
-    return np.bitwise_count(fingerprints[:, None] ^ refs[None, :]).astype(np.int8)
+    return np.stack([np.bitwise_count(fingerprints ^ r).sum(axis=1, dtype=np.int16) for r in refs], axis=1)
 
 
-def _fingerprints(shingle: int):
+def _fingerprints(shingle: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint((x.as_py() or "").encode(), shingle) for x in batch.column("_text")]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(np.array(found, np.uint64).view(np.int64))], ["id", "fp"])
+            found = [fingerprint((x.as_py() or "").encode(), shingle, words) for x in batch.column("_text")]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(found, pa.binary())], ["id", "fp"])
 
     return run
 
@@ -61,68 +81,104 @@ def linked(fps: np.ndarray, table: np.ndarray, chunk: np.ndarray, same: bool, mo
     """Pairs at most `most` bits apart: by the table's coordinates first, then by the fingerprints."""
     for i in range(len(fps) - 1):
         near = np.flatnonzero(np.abs(table[i + 1 :] - table[i]).max(axis=1) <= most) + i + 1
-        near = near[np.bitwise_count(fps[near] ^ fps[i]) <= most]
+        near = near[np.bitwise_count(fps[near] ^ fps[i]).sum(axis=1, dtype=np.int64) <= most]
         for j in near.tolist() if same else near[chunk[near] != chunk[i]].tolist():
             yield i, j
 
 
-def _links(most: int, n_refs: int):
+def _pairs(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places within blocks that begin at `at`; blocks of one size at a time."""
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for n in np.unique(size[size > 1]).tolist():
+        i, j = np.triu_indices(n, 1)
+        begin = at[size == n][:, None]
+        left.append((begin + i).ravel())
+        right.append((begin + j).ravel())
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _links(most: int, n_refs: int, words: int, small: int = 24):
+    """Links of blocks: all of small ones, a spanning forest of each larger one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             members = batch.column("members")
-            at, flat = members.offsets.to_numpy(), members.values
-            node, fp, chunk = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("node", "fp", "chunk"))
-            fp = fp.view(np.uint64)
-            table = np.frombuffer(b"".join(x.as_py() for x in flat.field("pivots")), np.int8).reshape(-1, n_refs)
-            same = (batch.column("lo").to_numpy() == batch.column("hi").to_numpy()).tolist()
+            at, flat = members.offsets.to_numpy().astype(np.int64), members.values
+            node, chunk = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("node", "chunk"))
+            fp = np.frombuffer(b"".join(flat.field("fp").to_pylist()), np.uint64).reshape(-1, words)
+            table = np.frombuffer(b"".join(flat.field("pivots").to_pylist()), np.int16).reshape(-1, n_refs)
+            same = batch.column("lo").to_numpy() == batch.column("hi").to_numpy()
             size = np.diff(at)
-            a, b = [], []
-            two = at[:-1][size == 2]  # most blocks are of two members: all at once
-            ok = (np.abs(table[two] - table[two + 1]).max(axis=1, initial=0) <= most) & (np.bitwise_count(fp[two] ^ fp[two + 1]) <= most)
-            a += node[two[ok]].tolist()
-            b += node[two[ok] + 1].tolist()
-            for k in np.flatnonzero(size > 2).tolist():
+            few = (size <= small) & same
+            i, j = _pairs(at[:-1][few], size[few])
+            near = np.flatnonzero(np.abs(table[i] - table[j]).max(axis=1, initial=0) <= most)
+            i, j = i[near], j[near]
+            near = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= most
+            a, b = node[i[near]].tolist(), node[j[near]].tolist()
+            for k in np.flatnonzero(~few).tolist():
                 lo, hi = at[k], at[k + 1]
                 forest = Forest(hi - lo)
-                for i, j in linked(fp[lo:hi], table[lo:hi], chunk[lo:hi], same[k], most):
-                    if forest.join(i, j):
-                        a.append(int(node[lo + i]))
-                        b.append(int(node[lo + j]))
+                for x, y in linked(fp[lo:hi], table[lo:hi], chunk[lo:hi], bool(same[k]), most):
+                    if forest.join(x, y):
+                        a.append(int(node[lo + x]))
+                        b.append(int(node[lo + y]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most_bits: int = 4, n_refs: int = 24, cap: int = 2048, seed: int = 7) -> DataFrame:
-    """(id, fp, component) of every row: rows whose fingerprints are at most most_bits apart are linked, transitively.
-
-    fp is the fingerprint as a signed long; component is the smallest id reachable. A null or empty text has fingerprint 0
-    and is linked like any other; ties and repeated rows share a fingerprint and a component. A row without id keeps its
-    fingerprint's component but cannot be its smallest id (null if no row there has an id). Empty tables give no rows; other
-    columns are not read, whatever their names.
-    """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    rows = stored(rows.mapInArrow(_fingerprints(shingle), "id long, fp long"), "simhash-rows")
-    refs = references(n_refs, seed)
+def _tabled(refs: np.ndarray, masks: np.ndarray | None, bits: np.ndarray | None):
+    """Adds to rows (fp, node) the pivot table and the keys under which fingerprints meet: masked, or sampled bits."""
 
-    def with_table(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = distances(batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), refs)
-            yield batch.append_column("pivots", pa.array([x.tobytes() for x in table], pa.binary()))
-
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("node"))
-    nodes = stored(nodes.mapInArrow(with_table, "fp long, node long, pivots binary"), "simhash-nodes")
-
-    n_blocks = most_bits + 2
-    edges_of = [round(BITS * k / n_blocks) for k in range(n_blocks + 1)]
-    block = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges_of, edges_of[1:])]
-    signed = lambda x: x - 2**64 if x >= 2**63 else x
-    masks = [signed(x | y) for x, y in combinations(block, 2)]
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(masks)])
-    members = nodes.where("node IS NOT NULL").withColumn("_k", F.explode(keys)).select("_k.t", "_k.key", "node", "fp", "pivots")
-    blocks = pair_blocks(members, ["t", "key"], ["node", "fp", "pivots"], "fp", cap)
-    edges = blocks.select("members", "lo", "hi").mapInArrow(_links(most_bits, n_refs), "a long, b long")
+            raw = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(batch.num_rows, 8 * refs.shape[1])
+            fps = raw.view(np.uint64)
+            if masks is not None:
+                keys = (fps & masks[None, :]).view(np.int64)
+            else:
+                one = np.unpackbits(raw, axis=1, bitorder="little")
+                keys = np.stack([one[:, b] @ (1 << np.arange(len(b), dtype=np.int64)) for b in bits], axis=1)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("node"), pa.array([x.tobytes() for x in distances(fps, refs)], pa.binary()), flat], ["fp", "node", "pivots", "keys"])
+
+    return run
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most_bits: int | None = None, least: float = 0.8, found: float = 0.99, words: int = 4, n_refs: int = 24, cap: int = 2048, seed: int = 7) -> DataFrame:
+    """(id, fp, component) of every row: near-duplicates are linked, transitively; component is the smallest id reachable.
 
+    With most_bits, 64-bit fingerprints link at most so many bits apart, every pair of them. Else `least` is the Jaccard
+    similarity of the shingles that pairs should have: fingerprints have 64 * words bits and link up to the distance expected
+    at that similarity plus one and a half standard deviations, and a pair at it meets with the probability `found`.
+
+    fp is the fingerprint, little-endian. A null or empty text has fingerprint 0 and is linked like any other; ties and
+    repeated rows share a fingerprint and a component. A row without id keeps its fingerprint's component but cannot be its
+    smallest id (null if no row there has an id). Empty tables give no rows; other columns are not read, whatever their names.
+    """
+    words = words if most_bits is None else 1
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    rows = stored(rows.mapInArrow(_fingerprints(shingle, words), "id long, fp binary"), "simhash-rows")
+    nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("node")), "simhash-fingerprints")
+    masks = bits = None
+    if most_bits is not None:
+        n_blocks = most_bits + 2
+        cuts = [round(BITS * k / n_blocks) for k in range(n_blocks + 1)]
+        block = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(cuts, cuts[1:])]
+        masks = np.array([x | y for x, y in combinations(block, 2)], np.uint64)
+        most = most_bits
+    else:
+        apart = math.acos(2 * least / (1 + least)) / math.pi  # share of bits that differ at that similarity
+        n_bits = BITS * words
+        most = int(n_bits * apart + 1.5 * math.sqrt(n_bits * apart * (1 - apart)))
+        sampled = min(30, max(8, math.ceil(math.log2(nodes.count() + 1)) - 1))
+        tables = max(1, math.ceil(math.log(1 - found) / math.log(1 - (1 - apart) ** sampled)))
+        draw = np.random.default_rng(seed)
+        bits = np.stack([draw.choice(n_bits, sampled, replace=False) for _ in range(tables)])
+    tabled = nodes.where("node IS NOT NULL").mapInArrow(_tabled(references(n_refs, words, seed), masks, bits), "fp binary, node long, pivots binary, keys array<long>")
+    members = stored(tabled, "simhash-tables").select(F.posexplode("keys").alias("t", "key"), "node", "fp", "pivots")
+    blocks = pair_blocks(members, ["t", "key"], ["node", "fp", "pivots"], "node", cap)
+    edges = blocks.select("members", "lo", "hi").mapInArrow(_links(most, n_refs, words), "a long, b long")
     labels = components(edges, "simhash")
     top = nodes.join(labels, "node", "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "node").alias("component"))
     top = stored(top, "simhash-top")
@@ -130,11 +186,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs that stay: of each group of near duplicates the one with the smallest id, and rows without id."""
-    found = simhash_components(docs, id_col, **how).where("id IS NOT NULL AND component <> id").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti").select(*docs.columns)
+    """The rows of docs that stay: of each group of near duplicates the one with the smallest id, and rows without id.
+
+    Of rows that share the smallest id all stay: they are one document.
+    """
+    gone = simhash_components(docs, id_col, **how).where("id IS NOT NULL AND component <> id").select(F.col("id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     found = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4, most_bits=4)
-    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    big_endian = F.lower(F.concat(*[F.substring(F.hex("fp"), 15 - 2 * k, 2) for k in range(8)]))
+    return found.select(F.col("id").alias("doc_id"), big_endian.alias("fingerprint"), F.col("component").alias("component_id"))
