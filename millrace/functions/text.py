@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ STOPWORDS = (
 ).split()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value computed once: as a lambda's variable it is not copied to every place of its use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank(c: Column) -> Column:
     """Null, or nothing but a text that stands for it."""
     return c.isNull() | F.trim(c).isin(*BLANK)
@@ -156,12 +163,16 @@ def content_words(c: Column) -> Column:
 
 def shingles(c: Column, k: int = 5) -> Column:
     """Distinct runs of k words; the whole text if it has fewer; none if it has no words."""
-    w = words(c)
-    n = F.size(w) - (k - 1)
-    runs = F.slice(w, 1, F.greatest(n, F.lit(0)))
-    for j in range(1, k):
-        runs = F.zip_with(runs, F.slice(w, j + 1, F.greatest(n, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(n < 1, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(runs))
+
+    def runs(w: Column) -> Column:
+        n = F.greatest(F.size(w) - (k - 1), F.lit(0))
+        out = F.slice(w, 1, n)
+        for j in range(1, k):
+            out = F.zip_with(out, F.slice(w, j + 1, n), lambda a, b: F.concat_ws(" ", a, b))
+        short = F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array(F.array_join(w, " ")))
+        return F.when(F.size(w) < k, short).otherwise(F.array_distinct(out))
+
+    return let(words(c), runs)
 
 
 def strip_titles(c: Column, title: Column) -> Column:
