@@ -45,7 +45,7 @@ L = F.lit
         (lambda: N.audio_phrases(L(0.8), L(None).cast("double"), L(0.2), *[L(None).cast("double")] * 4, L(120.5), L(None).cast("double")), "high-energy and intense, melancholic and somber, mid-tempo tempo (~120 BPM)"),
         (lambda: T.genre_list(L("['Fantasy', \"Children's\", 'c']"), 2), "Fantasy, Children's"),
         (lambda: T.genre_list(L("Fantasy")), "Fantasy"),
-        (lambda: T.clean_description(L('Instant New York Times bestseller! "A wonder of a book." — The Reviewer. A girl finds her way home.')), "A girl finds her way home."),
+        (lambda: T.clean_description(L('Instant New York Times bestseller! "A wonder of a book." — The Reviewer. Two girls find their way home.')), "Two girls find their way home."),
         (lambda: T.clean_description(L("Over 2 million copies sold! A tale.")), "A tale."),
         (lambda: T.grade(L("Answer: A")), "a"),
         (lambda: T.why_invalid(L("[Output]")), "labels only"),
