@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,36 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Documents are long: so many rows to an Arrow batch, unless the session says otherwise.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """A worker holds a batch of whole texts at a time; the default of 10,000 rows is for short rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving the memory back that it has used: workers live on after their task, and an executor has several."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read again: lineage is cut, and a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -85,15 +118,18 @@ def components(edges: DataFrame, what: str, most_rounds: int = 60) -> DataFrame:
 
 
 class Forest:
-    """Union-find over the members of one block."""
+    """Union-find over the nodes that a task has met."""
 
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
 
     def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
+        up = self.up
+        above = up.setdefault(i, i)
+        while above != i:
+            up[i] = up[above]
+            i = up[i]
+            above = up[i]
         return i
 
     def join(self, i: int, j: int) -> bool:

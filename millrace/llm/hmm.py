@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, stored
+from .common import id_remainder, lean, small_batches, stored
 
 END = " "  # no word holds a blank
 ADD = 0.1
@@ -146,7 +146,7 @@ def _count(held: int):
         if seen:
             yield out()
 
-    return run
+    return lean(run)
 
 
 def _batches(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, size: int, tokens: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -181,6 +181,7 @@ def score(
     unknown. Empty tables give none; other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
     learn = rows.where("_train").select("_text")
     words = stored(learn.mapInArrow(_count(200_000), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "hmm-words")
@@ -212,7 +213,7 @@ def score(
     for _ in range(rounds if n_tokens else 0):
         model = _round(learn, spark.sparkContext.broadcast(model), lexicon_bytes, tails, unigram, segment, prior)
 
-    given = spark.sparkContext.broadcast((model, base))
+    given = spark.sparkContext.broadcast((model, base, int(ends > 0)))
     numbered = rows.withColumn("_row", F.monotonically_increasing_id())
     kind = rows.schema["_id"].dataType.simpleString()
     scored = numbered.mapInArrow(_score(given, lexicon_bytes, tails), f"_row long, _id {kind}, held_out boolean, n_tokens long, head_known long, head_base double, score double, words array<string>, times array<long>")
@@ -285,7 +286,7 @@ def _round(learn, model, lexicon_bytes, tails, unigram, segment, prior) -> Hmm:
             part = slice(at, at + 20_000)
             yield pa.RecordBatch.from_arrays([pa.array(cls[part], pa.int64()), *(pa.array(np.ascontiguousarray(values[part, k])) for k in range(states))], ["class", *names])
 
-    total = learn.mapInArrow(gather, "class long, " + ", ".join(f"{n} double" for n in names)).groupBy("class").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    total = learn.mapInArrow(lean(gather), "class long, " + ", ".join(f"{n} double" for n in names)).groupBy("class").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     cls = total["class"].to_numpy()
     values = np.stack([total[n].to_numpy() for n in names], axis=1)
     emitted = np.zeros((len(unigram), states))
@@ -299,7 +300,7 @@ def _score(given, lexicon_bytes, tails: int, long: int = 1500, short_tokens: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(lexicon_bytes.value, tails)
-        model, base = given.value
+        model, base, end_known = given.value
         names = ["_row", "_id", "held_out", "n_tokens", "head_known", "head_base", "score", "words", "times"]
         kinds = [pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64())]
 
@@ -309,7 +310,7 @@ def _score(given, lexicon_bytes, tails: int, long: int = 1500, short_tokens: int
             for (row, i, train, other, ids), value in zip(held, found.tolist()):
                 own = ids[ids <= lexicon.end]
                 tail = Counter(other)
-                rows.append((row, i, not train, len(ids), len(own), float(base[own].sum()), value, [w.decode() for w in tail], list(tail.values())))
+                rows.append((row, i, not train, len(ids), len(own) - 1 + end_known, float(base[own].sum()), value, [w.decode() for w in tail], list(tail.values())))
             return pa.RecordBatch.from_arrays([pa.array(list(c), k or kind) for c, k in zip(zip(*rows), kinds)], names)
 
         held: dict[bool, list[tuple]] = {False: [], True: []}
@@ -330,7 +331,7 @@ def _score(given, lexicon_bytes, tails: int, long: int = 1500, short_tokens: int
             if rest:
                 yield out(rest)
 
-    return run
+    return lean(run)
 
 
 def op4_hmm(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder
+from .common import id_remainder, lean, small_batches
 
 DIMS, SLAB = 4096, 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
@@ -147,7 +147,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
                     value.append(counts[full].astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(at, pa.binary()), pa.array(value, pa.binary())], ["lang", "at", "value"])
 
-    sample = rows.where(place < share).mapInArrow(measured, "lang string, at binary, value binary").collect()
+    sample = rows.where(place < share).mapInArrow(lean(measured), "lang string, at binary, value binary").collect()
     sample.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["value"])))
     x = np.zeros((len(sample), DIMS), np.float32)
     for k, r in enumerate(sample):
@@ -164,6 +164,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: st
     was learned. Ties go to the language first in the alphabet; rows are taken one by one, so repeats agree and empty tables
     give none. Other columns are carried along; an old column of an output's name is replaced.
     """
+    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in (lang_out, score_out)]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)], F.col(f"`{text_col}`").cast("string").alias("_text"))
 
@@ -174,7 +175,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: st
             yield pa.RecordBatch.from_arrays([*columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names[:-1], "_lang", "_score"])
 
     schema = ", ".join([*(f"c{k} {rows.schema[f'c{k}'].dataType.simpleString()}" for k in range(len(rest))), "_lang string, _score double"])
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(lean(run), schema)
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(rest)], F.col("_lang").alias(lang_out), F.col("_score").alias(score_out))
 
 

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, small_batches
+
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -110,7 +112,7 @@ def _pieces(path: str | None, size: int, end_id: int):
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_group"]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*rows) if rows else [()] * 6)], names)
 
-    return run
+    return lean(run)
 
 
 def _pack(size: int):
@@ -137,6 +139,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     crc32 is over the piece's ids as little-endian unsigned 32-bit numbers. Very long texts only make more full pieces,
     repeated rows are packed each, empty tables give none, and other columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     groups = max(1, math.ceil(docs.count() / group_docs))
     rows = rows.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "_id", "_text"), F.lit(groups)))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, small_batches
+
 SYMBOLS = "#*$%&|<>"
 #: Words of the texts whose suffix array is built at once; a longer text has its own.
 GROUP = 40_000
@@ -135,7 +137,7 @@ def _measure(least: int):
             cols = list(zip(*rows)) or [[]] * len(NAMES)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), *(pa.array(list(c), pa.int64()) for c in cols)], ["_id", *NAMES])
 
-    return run
+    return lean(run)
 
 
 def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 8, most_covered: float = 0.3, most_words: int = 60) -> DataFrame:
@@ -146,6 +148,7 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept: not base_failed, at most `most_covered` of the words covered and no repeat of over `most_words` words. A null or
     empty text has no words and fails; repeated rows are measured each; empty tables give none; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     out = rows.mapInArrow(_measure(least), f"_id {rows.schema['_id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in NAMES))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

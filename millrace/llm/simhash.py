@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, pair_blocks, stored
+from .common import Forest, components, lean, pair_blocks, small_batches, stored
 
 BITS = 64
 GOLDEN, MIX, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -74,7 +74,7 @@ def _fingerprints(shingle: int, words: int):
             found = [fingerprint((x.as_py() or "").encode(), shingle, words) for x in batch.column("_text")]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(found, pa.binary())], ["id", "fp"])
 
-    return run
+    return lean(run)
 
 
 def linked(fps: np.ndarray, table: np.ndarray, chunk: np.ndarray, same: bool, most: int) -> Iterator[tuple[int, int]]:
@@ -86,6 +86,20 @@ def linked(fps: np.ndarray, table: np.ndarray, chunk: np.ndarray, same: bool, mo
             yield i, j
 
 
+def spanning(fps: np.ndarray, table: np.ndarray, chunk: np.ndarray, same: bool, most: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links: members of one tree are not looked at one by one."""
+    tree = np.arange(len(fps))
+    for i in range(len(fps) - 1):
+        other = np.flatnonzero(tree[i + 1 :] != tree[i]) + i + 1
+        near = other[np.abs(table[other] - table[i]).max(axis=1, initial=0) <= most]
+        near = near[np.bitwise_count(fps[near] ^ fps[i]).sum(axis=1, dtype=np.int64) <= most]
+        near = near if same else near[chunk[near] != chunk[i]]
+        while len(near):
+            yield i, int(near[0])
+            tree[tree == tree[near[0]]] = tree[i]
+            near = near[tree[near] != tree[i]]
+
+
 def _pairs(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of places within blocks that begin at `at`; blocks of one size at a time."""
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -98,9 +112,10 @@ def _pairs(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links(most: int, n_refs: int, words: int, small: int = 24):
-    """Links of blocks: all of small ones, a spanning forest of each larger one."""
+    """Links of blocks, of all that a task finds a spanning forest: small blocks at once, larger ones member by member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
         for batch in batches:
             members = batch.column("members")
             at, flat = members.offsets.to_numpy().astype(np.int64), members.values
@@ -114,17 +129,14 @@ def _links(most: int, n_refs: int, words: int, small: int = 24):
             near = np.flatnonzero(np.abs(table[i] - table[j]).max(axis=1, initial=0) <= most)
             i, j = i[near], j[near]
             near = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= most
-            a, b = node[i[near]].tolist(), node[j[near]].tolist()
+            edges = [(x, y) for x, y in zip(node[i[near]].tolist(), node[j[near]].tolist()) if forest.join(x, y)]
             for k in np.flatnonzero(~few).tolist():
                 lo, hi = at[k], at[k + 1]
-                forest = Forest(hi - lo)
-                for x, y in linked(fp[lo:hi], table[lo:hi], chunk[lo:hi], bool(same[k]), most):
-                    if forest.join(x, y):
-                        a.append(int(node[lo + x]))
-                        b.append(int(node[lo + y]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                mine = node[lo:hi].tolist()
+                edges += [(mine[x], mine[y]) for x, y in spanning(fp[lo:hi], table[lo:hi], chunk[lo:hi], bool(same[k]), most) if forest.join(mine[x], mine[y])]
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def _tabled(refs: np.ndarray, masks: np.ndarray | None, bits: np.ndarray | None):
@@ -142,7 +154,7 @@ def _tabled(refs: np.ndarray, masks: np.ndarray | None, bits: np.ndarray | None)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("node"), pa.array([x.tobytes() for x in distances(fps, refs)], pa.binary()), flat], ["fp", "node", "pivots", "keys"])
 
-    return run
+    return lean(run)
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most_bits: int | None = None, least: float = 0.8, found: float = 0.99, words: int = 4, n_refs: int = 24, cap: int = 2048, seed: int = 7) -> DataFrame:
@@ -156,6 +168,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     repeated rows share a fingerprint and a component. A row without id keeps its fingerprint's component but cannot be its
     smallest id (null if no row there has an id). Empty tables give no rows; other columns are not read, whatever their names.
     """
+    small_batches(docs.sparkSession)
     words = words if most_bits is None else 1
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     rows = stored(rows.mapInArrow(_fingerprints(shingle, words), "id long, fp binary"), "simhash-rows")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, small_batches, stored
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?:/?[a-zA-Z!?][^<>]*)?\Z", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
@@ -209,8 +209,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     marks an article, only that is taken. Null or empty html gives an empty text; pages without a host in their url form one
     site; a null url stays null. Repeated pages are all returned, empty tables give none, and other columns are not read.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    seen = rows.select("url", "html").mapInArrow(_observe, "host string, path long, above long, feature long, n long")
+    seen = rows.select("url", "html").mapInArrow(lean(_observe), "host string, path long, above long, feature long, n long")
     counts = seen.groupBy("host", "path", "above", "feature").agg(F.sum("n").alias("n"))
     kind = (F.col("feature") % 2 == 0).alias("content")
     nodes = counts.groupBy("host", "path", "above", kind).agg(
@@ -220,7 +221,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     low_paths = stored(low_paths.groupBy("host").agg(F.collect_set("path").alias("low")).withColumnRenamed("host", "_host"), "sitetree")
     site = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     joined = rows.withColumn("_site", site).join(low_paths, F.col("_site") == F.col("_host"), "left").select("_id", "url", "html", "low")
-    return joined.mapInArrow(_apply, f"_id {rows.schema['_id'].dataType.simpleString()}, url string, text string, n_chars long").withColumnRenamed("_id", id_col)
+    return joined.mapInArrow(lean(_apply), f"_id {rows.schema['_id'].dataType.simpleString()}, url string, text string, n_chars long").withColumnRenamed("_id", id_col)
 
 
 def op3_sitetree(spark, sf_dir: str) -> DataFrame:

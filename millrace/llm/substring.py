@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import discard, give_back, lean, small_batches, stored
 
 WINDOW, GRAM = 20, 6
 #: Windows that a map task holds at a time, and bytes of stored input to a hash range.
@@ -139,7 +139,7 @@ def _map(bits: int):
         if held:
             yield from flush(held)
 
-    return run
+    return lean(run)
 
 
 def _units(table: pa.Table, kind: int, types: dict[str, type]) -> list[np.ndarray]:
@@ -179,6 +179,7 @@ def _merge(keep: bool):
         rows = [(SPAN, at, *(x.tobytes() for x in spans), b"", b"")] if len(spans[0]) else []
         if keep:
             rows.append(_sorted_run(at, anchor[first & ~before], check[first & ~before]))
+        give_back()
         return pa.Table.from_batches([_batch(rows)] if rows else [], schema=_batch([(0, 0, b"", b"", b"", b"", b"")]).schema)
 
     return run
@@ -262,7 +263,7 @@ def _cut(digest: bool):
             rest = [k for k in range(batch.num_columns) if batch.schema.names[k] not in ("_text", "_spans")]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*(batch.schema.names[k] for k in rest), "_out", "_words", "_removed"])
 
-    return run
+    return lean(run)
 
 
 def range_bits(docs: DataFrame) -> int:
@@ -282,6 +283,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     give none; other columns are carried along, whatever their names.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rest = [c for c in docs.columns if c != text_col]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)], F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     known = rows.where("_id IS NOT NULL").select("_id", "_text")
