@@ -896,3 +896,190 @@ def _(t):
 @query("M15_item_lookup", "SELECT p_partkey, p_name AS title, p_brand AS brand FROM part WHERE p_partkey = 7")
 def _(t):
     return t("part").where("p_partkey = 7").select("p_partkey", F.col("p_name").alias("title"), F.col("p_brand").alias("brand"))
+
+
+# --- further operators ------------------------------------------------------------------------------------------------
+
+
+@query("J5_positional_update", "SELECT doc_id, CASE WHEN rn % 10 = 0 THEN 'checked' ELSE lang END AS lang FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents)")
+def _(t):
+    rows = X.numbered(t("documents").select("doc_id", "lang"), F.col("doc_id"))
+    update = rows.where("place % 10 = 0").select("place", F.lit("checked").alias("v"))
+    return M.overlay(rows, update, "place", "lang", "v").select("doc_id", "lang")
+
+
+@query("J12_query_item_scores", f"SELECT q, count(*) AS n, round(avg(score), 5) AS mean, round(max(score), 6) AS best FROM ({PAIRS}) GROUP BY q")
+def _(t):
+    return _pairs(t).groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 5).alias("mean"), six(F.max("score")).alias("best"))
+
+
+@query("J13_bucket_pairs", "SELECT a.text AS text, a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id WHERE b.doc_id - a.doc_id < 50")
+def _(t):
+    d = t("documents").select("text", "doc_id")
+    pairs = d.withColumnRenamed("doc_id", "a").join(d.withColumnRenamed("doc_id", "b"), "text")
+    return pairs.where("a < b AND b - a < 50")
+
+
+@query("J14_in_batch_pairs", "SELECT u.label AS label, count(*) AS n FROM embeddings u JOIN embeddings v ON u.label = v.label AND u.vec_id // 64 = v.vec_id // 64 GROUP BY u.label")
+def _(t):
+    e = t("embeddings").select("label", "vec_id", F.floor(F.col("vec_id") / 64).alias("batch"))
+    return e.join(e.select("label", "batch", F.col("vec_id").alias("other")), ["label", "batch"]).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("A17_exact_duplicate_rate", "SELECT lang, round((count(*) - count(DISTINCT text)) / count(*), 6) AS rate FROM documents GROUP BY lang")
+def _(t):
+    return t("documents").groupBy("lang").agg(six((F.count(F.lit(1)) - F.countDistinct("text")) / F.count(F.lit(1))).alias("rate"))
+
+
+@query("W4_keep_first", "SELECT min(doc_id) AS doc_id, source, lang FROM documents GROUP BY source, lang")
+def _(t):
+    return M.first_by(t("documents").select("doc_id", "source", "lang"), ["source", "lang"], "doc_id")
+
+
+@query("W5_bucket_heads", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 200")
+def _(t):
+    w = Window.partitionBy("source").orderBy("doc_id")
+    return t("documents").withColumn("r", F.row_number().over(w)).where("r <= 200").select("source", "doc_id")
+
+
+@query("W13_first_of_repeated_index", "SELECT conv_id, arg_min(text, turn) AS text FROM conversations GROUP BY conv_id")
+def _(t):
+    return M.first_by(t("conversations").select("conv_id", "turn", "text"), ["conv_id"], "turn").select("conv_id", "text")
+
+
+@query("T3_stable_order_by_information", "SELECT doc_id, row_number() OVER (ORDER BY quality IS NULL, doc_id) - 1 AS place FROM documents LEFT JOIN labels USING (doc_id)")
+def _(t):
+    rows = t("documents").join(t("labels"), "doc_id", "left").select("doc_id", F.col("quality").isNull().cast("int").alias("empty"))
+    return X.numbered(rows, F.col("empty"), F.col("doc_id")).select("doc_id", "place")
+
+
+@query("T4_worst_first", "SELECT source, round(avg(toxic), 6) AS rate FROM documents JOIN labels USING (doc_id) GROUP BY source ORDER BY rate DESC, source LIMIT 7")
+def _(t):
+    out = E.failure_rates(t("documents").join(t("labels"), "doc_id"), "source", F.col("toxic") == 1)
+    return out.select("source", six("rate").alias("rate")).orderBy(F.desc_nulls_last("rate"), "source").limit(7)
+
+
+@query("T6_seeded_sample_size", "SELECT least(count(*), 100) AS n FROM documents")
+def _(t):
+    return t("documents").orderBy(X.shuffled_place(F.col("doc_id"), 42), "doc_id").limit(100).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("T7_k_over_n", "SELECT n_nationkey, n_name FROM nation")
+def _(t):
+    return t("nation").orderBy("n_nationkey").limit(1000).select("n_nationkey", "n_name")
+
+
+@query("R2_split_ceiling", "SELECT part, n FROM (SELECT 'test' AS part, ceil(count(*) * 0.15)::BIGINT AS n FROM documents UNION ALL SELECT 'train', count(*) - ceil(count(*) * 0.15)::BIGINT FROM documents)")
+def _(t):
+    return X.split(t("documents").select("doc_id"), "doc_id", 0.15, up=True).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("R7_one_query_per_epoch", "SELECT doc_id, true AS in_list FROM documents")
+def _(t):
+    values = F.array("lang", "source")
+    pick = X.one_of(values, F.col("doc_id"), 3)
+    return t("documents").select("doc_id", F.array_contains(values, pick).alias("in_list"))
+
+
+@query("R8_shards_cover", "SELECT doc_id % 4 AS shard, count(*) AS n FROM documents GROUP BY 1")
+def _(t):
+    parts = [M.sharded(t("documents"), F.col("doc_id"), k, 4).select(F.lit(k).cast("long").alias("shard")) for k in range(4)]
+    return M.ranked_union(parts, "r").groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("C8_cover_url", "SELECT p_partkey, 'https://covers.openlibrary.org/b/isbn/' || lpad(p_partkey::VARCHAR, 13, '1') || '-L.jpg' AS url FROM part")
+def _(t):
+    return t("part").select("p_partkey", T.cover_url(T.isbn(F.lpad(F.col("p_partkey").cast("string"), 13, "1"))).alias("url"))
+
+
+@query("C19_why_invalid", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'empty output' WHEN 1 THEN 'labels only' WHEN 2 THEN 'empty part' ELSE 'parts: 4' END AS why FROM documents")
+def _(t):
+    raw = F.element_at(F.array(*[F.lit(x) for x in (" \n", "[Output]\n[x]", "[Output]\na||c", "a|b|c|d")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return t("documents").select("doc_id", T.why_invalid(raw).alias("why"))
+
+
+@query("C21_title_dropout", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'Type: ' || p_type ELSE 'Title: ' || p_name || chr(10) || 'Type: ' || p_type END AS content FROM part")
+def _(t):
+    content = T.labelled(Title=F.col("p_name"), Type=F.col("p_type"))
+    return t("part").select("p_partkey", T.keep_label_lines(content, F.col("p_partkey") % 3 == 0).alias("content"))
+
+
+@query("C32_labelled_lines", "SELECT doc_id, 'Lang: ' || lang || CASE WHEN quality IS NOT NULL THEN chr(10) || 'Quality: ' || quality ELSE '' END AS lines FROM documents LEFT JOIN labels USING (doc_id)")
+def _(t):
+    j = t("documents").join(t("labels"), "doc_id", "left")
+    return j.select("doc_id", T.labelled(Lang=F.col("lang"), Quality=F.col("quality").cast("string")).alias("lines"))
+
+
+@query("C37_strip_links", "SELECT p_partkey, p_name || ' ends' AS text FROM part")
+def _(t):
+    raw = F.concat(F.lit(" "), "p_name", F.lit(' <a href="http://x">Read\nmore</a>  ends '))
+    return t("part").select("p_partkey", T.strip_links(raw).alias("text"))
+
+
+@query("C39_first_artist", "SELECT p_partkey, split_part(p_name, ' ', 1) AS artist FROM part")
+def _(t):
+    return t("part").select("p_partkey", T.first_of_json_list(T.json_list(F.col("p_name"), " ")).alias("artist"))
+
+
+@query("C43_element_text", r"SELECT page_id, CASE WHEN length(x) > 50 THEN substring(x, 1, 3000) END AS text FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<footer\b[^>]*>(.*?)(?:</footer\s*>|\z)', 1), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&quot;', '""'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS x FROM pages)".replace('""', '"'))
+def _(t):
+    from ..functions.html import element_text
+
+    return t("pages").select("page_id", element_text(F.col("html"), "footer").alias("text"))
+
+
+@query("N17_dot", "SELECT a.vec_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 1) b")
+def _(t):
+    e = t("embeddings")
+    one = e.where("vec_id = 1").select(F.col("embedding").alias("b"))
+    return e.crossJoin(F.broadcast(one)).select("vec_id", F.round(N.dot(F.col("embedding"), F.col("b")), 5).alias("score"))
+
+
+@query("N19_batch_kl", "SELECT label, round(sum(k) / count(*), 5) AS loss FROM (SELECT label, vec_id, list_sum(list_transform(range(1, 65), lambda i: exp(embedding[i]::DOUBLE) * (embedding[i]::DOUBLE - embedding[65 - i]::DOUBLE))) AS k FROM embeddings) GROUP BY label")
+def _(t):
+    e = t("embeddings").select("label", F.col("embedding").cast("array<double>").alias("target"))
+    return R.batch_kl(e.withColumn("p", F.reverse("target")), "label", "p", "target").withColumn("loss", F.round("loss", 5))
+
+
+@query("N25_extra_map", "SELECT p_partkey, 'brand=' || p_brand || CASE WHEN p_size > 25 THEN ',size=' || p_size ELSE '' END AS extra FROM part")
+def _(t):
+    from .flows import meta
+
+    rows = t("part").withColumn("big", F.when(F.col("p_size") > 25, F.col("p_size")))
+    m = meta(rows, "p_partkey", "book", "p_name", {"brand": "p_brand", "size": "big", "gone": "no_such_column"})
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("extra")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return m.select(F.col("item_id").cast("long").alias("p_partkey"), shown.alias("extra"))
+
+
+@query("N27_year_prefix", "SELECT o_orderkey, year(o_orderdate)::INT AS y FROM orders")
+def _(t):
+    return t("orders").select("o_orderkey", F.substring(F.date_format("o_orderdate", "yyyy-MM-dd"), 1, 4).try_cast("int").alias("y"))
+
+
+@query("M10_counts_by_block", "SELECT split_part(p_name, ' ', 2) AS block, sum(p_size)::BIGINT AS parameters FROM part GROUP BY 1")
+def _(t):
+    return t("part").groupBy(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("block")).agg(F.sum("p_size").alias("parameters"))
+
+
+@query("F12_image_path", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'images/' || p_partkey || '.jpg' WHEN p_partkey % 3 = 1 THEN 'http://x/' || p_partkey ELSE '' END AS image_path FROM part")
+def _(t):
+    from .flows import Domain, standard_items
+
+    key = F.col("p_partkey").cast("string")
+    rows = t("part").withColumn("img", F.when(F.col("p_partkey") % 3 == 2, "no").otherwise(F.concat(F.lit("http://x/"), key)))
+    files = t("part").where("p_partkey % 3 = 0").select(key.alias("item_id"), F.concat(F.lit("images/"), key, F.lit(".jpg")).alias("path"))
+    out = standard_items(rows, Domain("book", "p_partkey", {"Title": "p_name"}, ("p_type",), "img"), files=files)
+    return out.select(F.col("item_id").cast("long").alias("p_partkey"), "image_path")
+
+
+@query("L3_standard_items", "SELECT doc_id::VARCHAR AS item_id, 'Title: ' || source || chr(10) || 'Description: ' || trim(substring(text, 1, 600)) AS content_text, '' AS image_path, CASE WHEN quality = 1 THEN 'good' END AS query, 'book' AS domain FROM documents LEFT JOIN labels USING (doc_id)")
+def _(t):
+    from .flows import Domain, standard_items
+
+    cache = t("labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("key"), F.lit("good").alias("value"))
+    return standard_items(t("documents").drop("lang"), Domain("book", "doc_id", {"Title": "source"}, ("description", "text")), queries=cache)
+
+
+@query("X1_grouping_sets", "SELECT lang, source, count(*) AS n FROM documents GROUP BY CUBE (lang, source)")
+def _(t):
+    return t("documents").cube("lang", "source").agg(F.count(F.lit(1)).alias("n"))
