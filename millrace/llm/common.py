@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,12 +14,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Our own folder, made where the session names none.
+_OWN: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = f"{tempfile.gettempdir()}/millrace-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="millrace-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        folder = _OWN[0]
     return folder
 
 

@@ -34,11 +34,13 @@ ASIDE_NAMES = frozenset(
     "signup sidebar widget menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar related recommended share sharing social comment comments disqus reply replies respond "
     "search login pagination pager skip legal copyright toolbar alert dialog complementary contentinfo".split()
 )
+#: Of those, what makes even an article element none of the page's own.
+OTHER_ARTICLE = frozenset("ad ads advert advertisement comment comments promo recommended related replies reply sponsored teaser".split())
 # An opening tag of the key ends an open element of these, as HTML's parser does.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def names(attributes: str) -> tuple[str, bool]:
+def names(attributes: str, aside_names: frozenset[str] = ASIDE_NAMES) -> tuple[str, bool]:
     """The class, for the path, and whether the markup says that this is no part of the article."""
     cls, aside = "", False
     for key, a, b, c in ATTRIBUTE.findall(attributes):
@@ -46,7 +48,7 @@ def names(attributes: str) -> tuple[str, bool]:
         if key == "class":
             cls = ".".join(sorted(value.split()))
         if key in ("class", "id", "role"):
-            aside |= not ASIDE_NAMES.isdisjoint(TOKEN.findall(value))
+            aside |= not aside_names.isdisjoint(TOKEN.findall(value))
         aside |= key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", ""))
     return cls, aside
 
@@ -58,6 +60,7 @@ class Page:
         self.blocks: list[tuple[int, tuple[int, ...], bool, bool, str]] = []
         self.shapes: dict[int, list[str]] = {}
         self.text: list[str] = []
+        self.found = False
         #: tag, path, aside, in an article
         self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
         at, skip = 0, ""
@@ -93,7 +96,7 @@ class Page:
                 self.blocks.append((path, tuple(x[1] for x in self.stack[1:]), inside, aside, " ".join(words)))
 
     def open(self, tag: str, attributes: str) -> None:
-        cls, aside = names(attributes) if attributes.strip() else ("", False)
+        cls, aside = names(attributes, OTHER_ARTICLE if tag in ("article", "main") else ASIDE_NAMES) if attributes.strip() else ("", False)
         if tag not in BLOCK and not aside:  # inline: part of the block around it
             return
         self.flush()
@@ -110,8 +113,11 @@ class Page:
         path = xxhash.xxh64_intdigest(f"{above}>{tag}.{cls}", 3) >> 1
         self.shapes.setdefault(above, []).append(tag)
         self.shapes.setdefault(path, [])
-        inside |= tag in ("article", "main")
-        off |= aside and tag not in ("html", "body", "article", "main") or tag in ASIDE_TAGS or (tag == "header" and not inside)
+        if tag in ("article", "main"):
+            off &= self.found  # the first one counts whatever the wrappers around it are named
+            self.found |= not aside
+            inside = True
+        off |= aside and tag not in ("html", "body") or tag in ASIDE_TAGS or (tag == "header" and not inside)
         self.stack.append((tag, path, off, inside))
 
     def close(self, tag: str) -> None:

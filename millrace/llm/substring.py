@@ -266,9 +266,11 @@ def _cut(digest: bool):
     return lean(run)
 
 
-def range_bits(docs: DataFrame) -> int:
+def range_bits(docs: DataFrame, text_col: str) -> int:
     """Bits of the hash by which runs are cut, so that a range stays small whatever the input's size."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 50:  # no estimate: a source of unknown size, or a join
+        size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 1
     return max(6, min(24, math.ceil(math.log2(max(size, 1) / RANGE_BYTES))))
 
 
@@ -288,7 +290,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)], F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     known = rows.where("_id IS NOT NULL").select("_id", "_text")
     at = sorted(set(known.approxQuantile("_id", list(cuts), 0.01))) if cuts else []
-    index = FingerprintIndex(spark, range_bits(docs), fanout)
+    index = FingerprintIndex(spark, range_bits(docs, text_col), fanout)
     found = None
     for k, (lo, hi) in enumerate(zip([None, *at], [*at, None])):
         part = known if lo is None else known.where(F.col("_id") > int(lo))

@@ -169,6 +169,7 @@ def test_held_out_condition(spark):
         ("<article><ul><li>one<li>two</ul><div class='ad'>buy</div><div class=article-header>kept?</div><p hidden>h</p></article>", "one\ntwo"),
         ("<article><p>cut in a tag</a", "cut in a tag"),
         ("<article>1 < 2 and &lt;b&gt; &#233;</article>", "1 < 2 and <b> é"),
+        ("<div class='layout with-sidebar'><article class=post><p>in</p></article><section id=comments><article class=comment><p>me too</p></article></section></div>", "in"),
         ("", ""),
         ("plain", "plain"),
     ],
