@@ -1021,7 +1021,8 @@ def _(t):
     return t("part").select("p_partkey", T.first_of_json_list(T.json_list(F.col("p_name"), " ")).alias("artist"))
 
 
-@query("C43_element_text", r"SELECT page_id, CASE WHEN length(x) > 50 THEN substring(x, 1, 3000) END AS text FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<footer\b[^>]*>(.*?)(?:</footer\s*>|\z)', 1), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&quot;', '""'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS x FROM pages)".replace('""', '"'))
+@query("C43_element_text", r"""SELECT page_id, CASE WHEN length(x) > 50 THEN substring(x, 1, 3000) END AS text FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+    regexp_replace(regexp_extract(html, '(?is)<footer\b[^>]*>(.*?)(?:</footer\s*>|\z)', 1), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS x FROM pages)""")
 def _(t):
     from ..functions.html import element_text
 
