@@ -118,22 +118,39 @@ def shuffled_place(key: Column, seed: int) -> Column:
     return F.xxhash64(key, F.lit(seed))
 
 
-def numbered(df: DataFrame, *order: Column) -> DataFrame:
-    """df with `place`, from 0, in this order, without one task sorting all rows.
+def _sliced(df: DataFrame, first: Column) -> DataFrame:
+    """df with `_slice`: the rows cut at quantiles of a number, nulls in the first slice.
 
-    Rows are range-partitioned by the order, counted by partition (a small table), and numbered within theirs.
+    The cuts are literals, so that every use of the frame sees the same slices, however often it is computed.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = [f"_o{k}" for k in range(len(order))]
-    rows = df.withColumns(dict(zip(names, order))).repartitionByRange(parts, *names).withColumn("_part", F.spark_partition_id())
-    rows = rows.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*names)))
-    sizes = dict(rows.groupBy("_part").count().collect())
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    offset = F.element_at(F.array(*[F.lit(before.get(p, 0)).cast("long") for p in range(max(sizes, default=0) + 1)]), F.col("_part") + 1)
-    return rows.withColumn("place", F.col("_in") - 1 + offset).drop(*names, "_part", "_in")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumn("_first", first.cast("double"))
+    cuts = sorted(set(rows.approxQuantile("_first", [k / parts for k in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+
+    def place(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col("_first") <= F.lit(cuts[mid]), place(lo, mid)).otherwise(place(mid + 1, hi))
+
+    return rows.withColumn("_slice", F.when(F.col("_first").isNull(), 0).otherwise(place(0, len(cuts)))).drop("_first")
+
+
+def numbered(df: DataFrame, first: Column, *more: Column, by: list[str] | None = None) -> DataFrame:
+    """df with `place`, from 0 in this order, over all rows or within each key; `first` is a number, nulls come first.
+
+    No task sorts all rows, or all of a key: slices are numbered apart, and the rows of earlier slices added.
+    """
+    by = by or []
+    rows = _sliced(df, first)
+    rows = rows.withColumn("_in", F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(first, *more)))
+    sizes = rows.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(*by, F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_slice").alias("_of"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    on = F.col("_slice") == F.col("_of")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return rows.join(sizes, on).withColumn("place", F.col("_in") - 1 + F.col("_before")).select(*df.columns, "place")
 
 
 def split(df: DataFrame, key: str, test: float, val: float = 0.0, seed: int = 42, up: bool = False) -> DataFrame:
@@ -151,8 +168,7 @@ def balanced(df: DataFrame, label: str, key: str, over: bool = False, seed: int
     """Every class brought to the size of the smallest, or of the largest by repeating its rows in turn (column `copy`)."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
     least, most = sizes.agg(F.min("_size"), F.max("_size")).first()
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(shuffled_place(F.col(key), seed), F.col(key)))
-    rows = df.withColumn("_rank", rank)
+    rows = numbered(df, shuffled_place(F.col(key), seed), F.col(key), by=[label]).withColumn("_rank", F.col("place") + 1).drop("place")
     if not over:
         return rows.where(F.col("_rank") <= F.lit(least or 0)).drop("_rank").withColumn("copy", F.lit(0))
     rows = rows.join(sizes, label)

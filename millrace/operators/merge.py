@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .features import numbered
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
@@ -92,9 +93,9 @@ def sharded(df: DataFrame, place: Column, shard: int, shards: int) -> DataFrame:
 
 
 def chunked(df: DataFrame, order: str, size: int, by: list[str]) -> DataFrame:
-    """df with `chunk`: `size` rows each within a group, in order."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    return df.withColumn("chunk", F.floor((place - 1) / size).cast("long"))
+    """df with `chunk`: `size` rows each within a group, in the order of a number."""
+    rows = numbered(df, F.col(order), by=by)
+    return rows.withColumn("chunk", F.floor(F.col("place") / size).cast("long")).drop("place")
 
 
 def distinct_in_order(df: DataFrame, value: str, order: str) -> DataFrame:

@@ -950,7 +950,7 @@ def _(t):
 @query("T3_stable_order_by_information", "SELECT doc_id, row_number() OVER (ORDER BY quality IS NULL, doc_id) - 1 AS place FROM documents LEFT JOIN labels USING (doc_id)")
 def _(t):
     rows = t("documents").join(t("labels"), "doc_id", "left").select("doc_id", F.col("quality").isNull().cast("int").alias("empty"))
-    return X.numbered(rows, F.col("empty"), F.col("doc_id")).select("doc_id", "place")
+    return X.numbered(rows, F.col("empty") * F.lit(2.0**50) + F.col("doc_id"), F.col("doc_id")).select("doc_id", "place")
 
 
 @query("T4_worst_first", "SELECT source, round(avg(toxic), 6) AS rate FROM documents JOIN labels USING (doc_id) GROUP BY source ORDER BY rate DESC, source LIMIT 7")

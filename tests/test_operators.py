@@ -170,3 +170,14 @@ def test_streams(spark, tmp_path):
     for turn in range(2):
         I.ingest(stream, str(tmp_path / "out"), "k", str(tmp_path / f"check{turn}")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_numbering_matches_a_plain_order(spark):
+    df = spark.createDataFrame([(k, k * 37 % 101 if k % 9 else None, "x" if k % 3 else None) for k in range(300)], "id int, v int, g string")
+    key = lambda r: (r.v is not None, r.v or 0, r.id)
+    plain = sorted(df.collect(), key=key)
+    assert {r.id: r.place for r in X.numbered(df, F.col("v"), F.col("id")).collect()} == {r.id: k for k, r in enumerate(plain)}
+    within = {r.id: r.place for r in X.numbered(df, F.col("v"), F.col("id"), by=["g"]).collect()}
+    for g in ("x", None):
+        assert [within[r.id] for r in plain if r.g == g] == list(range(len([r for r in plain if r.g == g])))
+    assert X.numbered(df.limit(0), F.col("v")).count() == 0
