@@ -276,7 +276,7 @@ def _round(learn, model, lexicon_bytes, tails, unigram, segment, prior) -> Hmm:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(lexicon_bytes.value, tails)
         start, moves, emitted = np.zeros(states), np.zeros((states, states)), np.zeros((lexicon.size, states))
-        for sequences, opening in _batches(batches, lexicon, segment, 200_000):
+        for sequences, opening in _batches(batches, lexicon, segment, 500_000):
             for total, found in zip((start, moves, emitted), model.value.counts(sequences, opening)):
                 total += found
         full = np.flatnonzero(emitted.sum(axis=1))
