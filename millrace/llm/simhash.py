@@ -64,8 +64,8 @@ def references(count: int, words: int, seed: int) -> np.ndarray:
 
 
 def distances(fingerprints: np.ndarray, refs: np.ndarray) -> np.ndarray:
-    """The pivot table: a row of distances for each fingerprint."""
-    return np.stack([np.bitwise_count(fingerprints ^ r).sum(axis=1, dtype=np.int16) for r in refs], axis=1)
+    """The pivot table: a row of distances for each fingerprint, in a byte each (clipping brings none further apart)."""
+    return np.stack([np.minimum(np.bitwise_count(fingerprints ^ r).sum(axis=1, dtype=np.int16), 255) for r in refs], axis=1).astype(np.uint8)
 
 
 def _fingerprints(shingle: int, words: int):
@@ -112,7 +112,10 @@ def _pairs(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links(most: int, n_refs: int, words: int, small: int = 24):
-    """Links of blocks, of all that a task finds a spanning forest: small blocks at once, larger ones member by member."""
+    """Links of blocks, reduced to (node, smallest node of its tree) over all that a task finds.
+
+    Tables that see the same group give the same rows, so a large group stays a star and not a forest for each task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
@@ -121,7 +124,7 @@ def _links(most: int, n_refs: int, words: int, small: int = 24):
             at, flat = members.offsets.to_numpy().astype(np.int64), members.values
             node, chunk = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("node", "chunk"))
             fp = np.frombuffer(b"".join(flat.field("fp").to_pylist()), np.uint64).reshape(-1, words)
-            table = np.frombuffer(b"".join(flat.field("pivots").to_pylist()), np.int16).reshape(-1, n_refs)
+            table = np.frombuffer(b"".join(flat.field("pivots").to_pylist()), np.uint8).reshape(-1, n_refs).astype(np.int16)
             same = batch.column("lo").to_numpy() == batch.column("hi").to_numpy()
             size = np.diff(at)
             few = (size <= small) & same
@@ -129,12 +132,17 @@ def _links(most: int, n_refs: int, words: int, small: int = 24):
             near = np.flatnonzero(np.abs(table[i] - table[j]).max(axis=1, initial=0) <= most)
             i, j = i[near], j[near]
             near = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= most
-            edges = [(x, y) for x, y in zip(node[i[near]].tolist(), node[j[near]].tolist()) if forest.join(x, y)]
+            for x, y in zip(node[i[near]].tolist(), node[j[near]].tolist()):
+                forest.join(x, y)
             for k in np.flatnonzero(~few).tolist():
                 lo, hi = at[k], at[k + 1]
                 mine = node[lo:hi].tolist()
-                edges += [(mine[x], mine[y]) for x, y in spanning(fp[lo:hi], table[lo:hi], chunk[lo:hi], bool(same[k]), most) if forest.join(mine[x], mine[y])]
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
+                for x, y in spanning(fp[lo:hi], table[lo:hi], chunk[lo:hi], bool(same[k]), most):
+                    forest.join(mine[x], mine[y])
+        edges = [(x, top) for x in list(forest.up) if (top := forest.root(x)) != x]
+        for k in range(0, len(edges), 50_000):
+            part = edges[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in part], pa.int64()), pa.array([e[1] for e in part], pa.int64())], ["a", "b"])
 
     return lean(run)
 
@@ -157,7 +165,7 @@ def _tabled(refs: np.ndarray, masks: np.ndarray | None, bits: np.ndarray | None)
     return lean(run)
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most_bits: int | None = None, least: float = 0.8, found: float = 0.99, words: int = 4, n_refs: int = 24, cap: int = 2048, seed: int = 7) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most_bits: int | None = None, least: float = 0.8, found: float = 0.99, words: int = 4, n_refs: int | None = None, cap: int = 2048, seed: int = 7) -> DataFrame:
     """(id, fp, component) of every row: near-duplicates are linked, transitively; component is the smallest id reachable.
 
     With most_bits, 64-bit fingerprints link at most so many bits apart, every pair of them. Else `least` is the Jaccard
@@ -170,6 +178,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     small_batches(docs.sparkSession)
     words = words if most_bits is None else 1
+    n_refs = n_refs or (8 if most_bits is None else 24)  # at the distances of a similarity, more discard no more
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     rows = stored(rows.mapInArrow(_fingerprints(shingle, words), "id long, fp binary"), "simhash-rows")
     nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("node")), "simhash-fingerprints")

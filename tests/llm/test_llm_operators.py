@@ -97,7 +97,7 @@ def test_pivots_discard_no_link():
     for k in range(100):
         for b in draw.choice(64, draw.integers(0, 6), replace=False):
             fps[200 + k, 0] = fps[200 + k, 0] if b is None else fps[k, 0] ^ np.uint64(1 << int(b))
-    table = simhash.distances(fps, simhash.references(24, 1, 7))
+    table = simhash.distances(fps, simhash.references(24, 1, 7)).astype(np.int16)
     got = set(simhash.linked(fps, table, np.zeros(300), True, 4))
     assert got == {(i, j) for i in range(300) for j in range(i + 1, 300) if int(fps[i, 0] ^ fps[j, 0]).bit_count() <= 4}
 
