@@ -5,7 +5,8 @@ fingerprints at most k bits apart differ by at most k in every coordinate of tha
 anywhere are discarded before the fingerprints themselves are compared. Which rows of the table meet is settled by agreement
 on bits. For few differing bits that is without loss: k of them touch at most k blocks, so of k + 2 blocks some two agree.
 For a similarity, whose bits are too many for that, fingerprints are longer and tables of sampled bits are as many as
-bring every pair at that similarity together with a stated probability.
+bring every pair at that similarity together with a stated probability. What they link are candidates only: within each
+component of candidates the whole shingle sets are compared, and only pairs that have the similarity are links.
 """
 
 from __future__ import annotations
@@ -44,7 +45,10 @@ def fingerprint(text: bytes, shingle: int, words: int = 1) -> bytes:
 
     The first 64 bits are those of the hashes themselves, further ones those of the hashes mixed anew.
     """
-    hashes = shingle_hashes(text, shingle)
+    return folded(shingle_hashes(text, shingle), words)
+
+
+def folded(hashes: np.ndarray, words: int) -> bytes:
     ones = np.zeros(BITS * words, np.int64)
     for at in range(0, len(hashes), 8192):
         part = hashes[at : at + 8192]
@@ -68,10 +72,22 @@ def distances(fingerprints: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum(np.bitwise_count(fingerprints ^ r).sum(axis=1, dtype=np.int16), 255) for r in refs], axis=1).astype(np.uint8)
 
 
-def _fingerprints(shingle: int, words: int):
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes((text or "").encode(), shingle))
+
+
+def set_key(hashes: np.ndarray, words: int) -> bytes:
+    """The fingerprint of a shingle set and a 128-bit digest of it: sets of one fingerprint need not be equal."""
+    return folded(hashes, words) + xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def _fingerprints(shingle: int, words: int, sets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint((x.as_py() or "").encode(), shingle, words) for x in batch.column("_text")]
+            if sets:
+                found = [set_key(shingle_set(x.as_py(), shingle), words) for x in batch.column("_text")]
+            else:
+                found = [fingerprint((x.as_py() or "").encode(), shingle, words) for x in batch.column("_text")]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(found, pa.binary())], ["id", "fp"])
 
     return lean(run)
@@ -152,7 +168,8 @@ def _tabled(refs: np.ndarray, masks: np.ndarray | None, bits: np.ndarray | None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(batch.num_rows, 8 * refs.shape[1])
+            own = [x[: 8 * refs.shape[1]] for x in batch.column("fp").to_pylist()]
+            raw = np.frombuffer(b"".join(own), np.uint8).reshape(batch.num_rows, 8 * refs.shape[1])
             fps = raw.view(np.uint64)
             if masks is not None:
                 keys = (fps & masks[None, :]).view(np.int64)
@@ -160,17 +177,87 @@ def _tabled(refs: np.ndarray, masks: np.ndarray | None, bits: np.ndarray | None)
                 one = np.unpackbits(raw, axis=1, bitorder="little")
                 keys = np.stack([one[:, b] @ (1 << np.arange(len(b), dtype=np.int64)) for b in bits], axis=1)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("node"), pa.array([x.tobytes() for x in distances(fps, refs)], pa.binary()), flat], ["fp", "node", "pivots", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), batch.column("node"), pa.array([x.tobytes() for x in distances(fps, refs)], pa.binary()), flat], ["fp", "node", "pivots", "keys"])
+
+    return lean(run)
+
+
+def _sets(shingle: int, words: int):
+    """(component, node, set) of the candidates' texts; of rows that share an id only the one whose set is the node's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for component, node, key, text in zip(*(batch.column(c).to_pylist() for c in ("component", "node", "fp", "_text"))):
+                hashes = shingle_set(text, shingle)
+                if set_key(hashes, words) == key:
+                    out.append((component, node, hashes.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["component", "node", "set"])
 
     return lean(run)
 
 
+def similar(sets: list[np.ndarray], chunk: np.ndarray, same: bool, least: float) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs of sets whose Jaccard similarity is `least` or more."""
+    size = np.array([len(x) for x in sets])
+    at = np.cumsum(size) - size
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    tree, mine = np.arange(len(sets)), np.zeros(len(values), np.int32)
+    for i in range(len(sets) - 1):
+        other = np.flatnonzero((tree[i + 1 :] != tree[i]) & (size[i + 1 :] > 0)) + i + 1
+        small, large = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
+        other = other[small >= least * large - 1e-9]
+        other = other if same else other[chunk[other] != chunk[i]]
+        if not len(other):
+            continue
+        mine[flat[at[i] : at[i] + size[i]]] = 1
+        n = size[other]
+        begin = np.cumsum(n) - n
+        place = np.repeat(at[other] - begin, n) + np.arange(int(n.sum()))
+        common = np.add.reduceat(mine[flat[place]], begin)
+        mine[flat[at[i] : at[i] + size[i]]] = 0
+        near = other[common >= least * (size[i] + n - common) - 1e-9]
+        while len(near):
+            yield i, int(near[0])
+            tree[tree == tree[near[0]]] = tree[i]
+            near = near[tree[near] != tree[i]]
+
+
+def _similar(least: float):
+    """Links of blocks of sets, as (node, smallest node of its tree) over all that a task finds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for batch in batches:
+            for members, lo, hi in zip(batch.column("members"), batch.column("lo").to_pylist(), batch.column("hi").to_pylist()):
+                node, chunk = (members.values.field(k).to_numpy(zero_copy_only=False) for k in ("node", "chunk"))
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in members.values.field("set")]
+                for x, y in similar(sets, chunk, lo == hi, least):
+                    forest.join(int(node[x]), int(node[y]))
+        edges = [(x, top) for x in list(forest.up) if (top := forest.root(x)) != x]
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return lean(run)
+
+
+def _verified(rows: DataFrame, nodes: DataFrame, labels: DataFrame, shingle: int, words: int, least: float, cap: int) -> DataFrame:
+    """Components of the links at `least` within the components of candidates; sets are made of the candidates' texts alone."""
+    named = nodes.join(labels, "node").select("node", "fp", "component")
+    texts = rows.join(named, rows._id == named.node).select("component", "node", "fp", "_text")
+    sets = texts.mapInArrow(_sets(shingle, words), "component long, node long, set binary").dropDuplicates(["component", "node", "set"])
+    blocks = pair_blocks(stored(sets, "simhash-sets"), ["component"], ["node", "set"], "node", cap)
+    edges = blocks.select("members", "lo", "hi").mapInArrow(_similar(least), "a long, b long")
+    return components(edges, "simhash-verified")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most_bits: int | None = None, least: float = 0.8, found: float = 0.99, words: int = 4, n_refs: int | None = None, cap: int = 2048, seed: int = 7) -> DataFrame:
     """(id, fp, component) of every row: near-duplicates are linked, transitively; component is the smallest id reachable.
 
     With most_bits, 64-bit fingerprints link at most so many bits apart, every pair of them. Else `least` is the Jaccard
-    similarity of the shingles that pairs should have: fingerprints have 64 * words bits and link up to the distance expected
-    at that similarity plus one and a half standard deviations, and a pair at it meets with the probability `found`.
+    similarity that the shingle sets of linked rows have: fingerprints of the sets have 64 * words bits and are candidates up
+    to the distance expected at that similarity plus four standard deviations, a pair at it meets with the probability
+    `found`, and sets that candidates connect are compared whole.
 
     fp is the fingerprint, little-endian. A null or empty text has fingerprint 0 and is linked like any other; ties and
     repeated rows share a fingerprint and a component. A row without id keeps its fingerprint's component but cannot be its
@@ -180,7 +267,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     words = words if most_bits is None else 1
     n_refs = n_refs or (8 if most_bits is None else 24)  # at the distances of a similarity, more discard no more
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    rows = stored(rows.mapInArrow(_fingerprints(shingle, words), "id long, fp binary"), "simhash-rows")
+    texts = rows
+    rows = stored(rows.mapInArrow(_fingerprints(shingle, words, most_bits is None), "id long, fp binary"), "simhash-rows")
     nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("node")), "simhash-fingerprints")
     masks = bits = None
     if most_bits is not None:
@@ -192,7 +280,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     else:
         apart = math.acos(2 * least / (1 + least)) / math.pi  # share of bits that differ at that similarity
         n_bits = BITS * words
-        most = int(n_bits * apart + 1.5 * math.sqrt(n_bits * apart * (1 - apart)))
+        most = int(n_bits * apart + 4 * math.sqrt(n_bits * apart * (1 - apart)))
         sampled = min(30, max(8, math.ceil(math.log2(nodes.count() + 1)) - 1))
         tables = max(1, math.ceil(math.log(1 - found) / math.log(1 - (1 - apart) ** sampled)))
         draw = np.random.default_rng(seed)
@@ -202,9 +290,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = pair_blocks(members, ["t", "key"], ["node", "fp", "pivots"], "node", cap)
     edges = blocks.select("members", "lo", "hi").mapInArrow(_links(most, n_refs, words), "a long, b long")
     labels = components(edges, "simhash")
+    if most_bits is None:
+        labels = _verified(texts, nodes, labels, shingle, words, least, cap // 4)
     top = nodes.join(labels, "node", "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "node").alias("component"))
     top = stored(top, "simhash-top")
-    return rows.join(top, rows.fp == top._fp).select("id", "fp", "component")
+    return rows.join(top, rows.fp == top._fp).select("id", F.substring("fp", 1, 8 * words).alias("fp"), "component")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:

@@ -118,6 +118,40 @@ def test_near_dedup_by_similarity(spark):
     assert kept == set(range(60))
 
 
+def test_near_dedup_keeps_what_is_below_the_similarity(spark):
+    r = random.Random(14)
+    word = lambda: f"w{r.randrange(10**6)}"
+    texts = []
+    for k in range(40):
+        words = [word() for _ in range(204)]
+        other = words[:]
+        # the five shingles round a changed word differ: 200 - d shared of 200 + d, similar at d <= 22
+        d = (15, 20, 25, 35)[k % 4]
+        for p in range(10, 10 + 10 * (d // 5), 10):
+            other[p] = word()
+        texts += [" ".join(words), " ".join(other)]
+    texts += ["a b c d e f " * 40 + "x y", "a b c d e f " * 40 + "p q r s t u v w"]  # one fingerprint's majority, other sets
+    docs = docs_of(spark, texts)
+    sets = {k: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for k, t in enumerate(texts)}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    expected = components_of(links, sets)
+    assert len(links) == 20
+    assert {x.doc_id for x in simhash.near_dedup(docs).collect()} == {k for k in expected if expected[k] == k}
+
+
+def test_similar_sets_against_all_pairs():
+    draw = np.random.default_rng(15)
+    base = [draw.integers(0, 2**64, 40, dtype=np.uint64) for _ in range(4)]
+    sets = [np.unique(np.r_[base[k % 4][: draw.integers(28, 41)], draw.integers(0, 2**64, draw.integers(0, 8), dtype=np.uint64)]) for k in range(60)]
+    sets.append(np.empty(0, np.uint64))
+    chunk = np.arange(61) % 3
+    for same in (True, False):
+        jaccard = lambda a, b: len(np.intersect1d(a, b)) / max(1, len(np.union1d(a, b)))
+        links = [(i, j) for i in range(61) for j in range(i + 1, 61) if (same or chunk[i] != chunk[j]) and jaccard(sets[i], sets[j]) >= 0.8]
+        edges = list(simhash.similar(sets, chunk, same, 0.8))
+        assert set(edges) <= set(links) and components_of(edges, range(61)) == components_of(links, range(61))
+
+
 def test_simhash_edges(spark, hard):
     out = simhash.simhash_components(hard).collect()
     assert len(out) == hard.count()
