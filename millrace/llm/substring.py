@@ -2,7 +2,7 @@
 
 A window is `WINDOW` consecutive words. Its fingerprint has two parts: the smallest hash of the `GRAM`-word runs inside it
 (equal windows choose the same one, and neighbouring windows mostly share it, so it is stored once for several windows) and
-a check value of all its words. The index keeps sorted, immutable runs of the fingerprints seen so far, cut into ranges of
+a 64-bit check value of all its words. Both are compared, each as a sort key of its own. The index keeps sorted, immutable runs of the fingerprints seen so far, cut into ranges of
 the hash. A batch's fingerprints are sorted into the same ranges and merge-joined with the runs range by range; hits are
 verified by both parts, what is new becomes another run, and runs are compacted into one when there are too many.
 """
@@ -49,28 +49,28 @@ def _rolled(h: np.ndarray, k: int) -> np.ndarray:
 def fingerprints(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(anchor, check) of every window; empty where there are fewer than WINDOW words."""
     if len(words) < WINDOW:
-        return np.empty(0, np.uint64), np.empty(0, np.uint32)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
     hash64 = xxhash.xxh64_intdigest
     h = np.array([hash64(w) for w in words], np.uint64)
     grams = _mixed(_rolled(h, GRAM))
     anchor = _mixed(np.lib.stride_tricks.sliding_window_view(grams, WINDOW - GRAM + 1).min(axis=1))  # else ranges of small hashes fill
-    return anchor, (_mixed(_rolled(h, WINDOW)) >> np.uint64(32)).astype(np.uint32)
+    return anchor, _mixed(_rolled(h, WINDOW))
 
 
-def _key(anchor: np.ndarray, check: np.ndarray) -> np.ndarray:
-    return anchor ^ (check.astype(np.uint64) * STEP)
+def _heads(anchor: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """The place of the first fingerprint that is equal in both parts, for each."""
+    order = np.lexsort((check, anchor))
+    new = np.ones(len(anchor), bool)
+    new[1:] = (anchor[order[1:]] != anchor[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+    head = np.empty(len(anchor), np.int64)
+    head[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(anchor)), 0))]
+    return head
 
 
-def _repeats(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Masks over windows in (doc, start) order: first of its key, and later than the first of its key."""
-    order = np.argsort(key, kind="stable")
-    new = np.ones(len(key), bool)
-    new[1:] = key[order[1:]] != key[order[:-1]]
-    head = order[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-    first, later = np.zeros(len(key), bool), np.zeros(len(key), bool)
-    first[order[new]] = True
-    later[order] = (doc[order] != doc[head]) | (start[order] != start[head])
-    return first, later
+def _repeats(anchor: np.ndarray, check: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Masks over windows in (doc, start) order: first of its fingerprint, and later than the first of its fingerprint."""
+    head = _heads(anchor, check)
+    return head == np.arange(len(head)), (doc != doc[head]) | (start != start[head])
 
 
 def _spans(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,7 +101,7 @@ def _map(bits: int):
         length = np.array([len(x[1]) for x in held])
         doc = np.repeat(np.array([x[0] for x in held], np.int64), length)
         start = (np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)
-        first, later = _repeats(_key(anchor, check), doc, start)
+        first, later = _repeats(anchor, check, doc, start)
         rows = []
         if later.any():
             known = _spans(doc[later], start[later])
@@ -162,18 +162,15 @@ def _merge(keep: bool):
         import pyarrow.compute  # noqa: F401
 
         at = table["range"][0].as_py()
-        d, s, c, a, check = _units(table, NEW, {"doc": np.int64, "start": np.int32, "count": np.int32, "anchor": np.uint64, "check": np.uint32})
-        hc, ha, old_check = _units(table, RUN, {"count": np.int32, "anchor": np.uint64, "check": np.uint32})
+        d, s, c, a, check = _units(table, NEW, {"doc": np.int64, "start": np.int32, "count": np.int32, "anchor": np.uint64, "check": np.uint64})
+        hc, ha, old_check = _units(table, RUN, {"count": np.int32, "anchor": np.uint64, "check": np.uint64})
         anchor, doc = np.repeat(a, c), np.repeat(d, c)
         start = (np.repeat(s, c) + np.arange(len(anchor)) - np.repeat(np.cumsum(c) - c, c)).astype(np.int32)
         order = np.lexsort((start, doc))
         anchor, doc, start, check = anchor[order], doc[order], start[order], check[order]
-        key = _key(anchor, check)
-        first, later = _repeats(key, doc, start)
+        first, later = _repeats(anchor, check, doc, start)
         old_anchor = np.repeat(ha, hc)
-        old = np.sort(_key(old_anchor, old_check))
-        place = np.searchsorted(old, key)
-        before = (place < len(old)) & (old[np.minimum(place, max(len(old) - 1, 0))] == key) if len(old) else np.zeros(len(key), bool)
+        before = _heads(np.r_[old_anchor, anchor], np.r_[old_check, check])[len(old_anchor) :] < len(old_anchor)
         gone = later | before
         spans = [np.concatenate(x) for x in zip(_spans(doc[gone], start[gone]), _units(table, SPAN, {"doc": np.int64, "start": np.int32, "count": np.int32}))]
         rows = [(SPAN, at, *(x.tobytes() for x in spans), b"", b"")] if len(spans[0]) else []
@@ -188,7 +185,7 @@ def _merge(keep: bool):
 def _compacted(table: pa.Table) -> pa.Table:
     import pyarrow.compute  # noqa: F401
 
-    c, a, check = _units(table, RUN, {"count": np.int32, "anchor": np.uint64, "check": np.uint32})
+    c, a, check = _units(table, RUN, {"count": np.int32, "anchor": np.uint64, "check": np.uint64})
     return pa.Table.from_batches([_batch([_sorted_run(table["range"][0].as_py(), np.repeat(a, c), check)])])
 
 

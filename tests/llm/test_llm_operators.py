@@ -321,6 +321,25 @@ def test_substrings_against_brute_force(spark, cuts):
     assert all(cut[i] == (texts[i] if texts[i] is None or len(k) == len(texts[i].split()) else b" ".join(k).decode()) for i, k in expected.items())
 
 
+def test_windows_at_one_anchor_are_told_apart(spark):
+    r = random.Random(16)
+    word = lambda: f"w{r.randrange(10**5)}".encode()
+    hashed = lambda ws: int(substring._mixed(substring._rolled(np.array([xxhash.xxh64_intdigest(w) for w in ws], np.uint64), 6))[0])
+    phrase = min(([word() for _ in range(6)] for _ in range(20_000)), key=hashed)
+    docs = [[word() for _ in range(14)] + phrase + [word() for _ in range(14)] for _ in range(20_000)]
+    seen, texts = {}, []
+    for k, words in enumerate(docs):
+        anchor, check = substring.fingerprints(words)
+        half = check >> np.uint64(32) if check.dtype == np.uint64 else check
+        for s, key in enumerate(zip(anchor.tolist(), half.tolist())):
+            other, at = seen.setdefault(key, (k, s))
+            if docs[other][at : at + 20] != words[s : s + 20]:
+                texts += [b" ".join(docs[other]).decode(), b" ".join(words).decode()]
+    assert texts  # different windows that agree in the anchor and in 32 bits
+    for cuts in ((), (0.5,)):
+        assert {x._removed for x in substring.substring_dedup(docs_of(spark, texts), cuts=cuts).collect()} == {0}
+
+
 def test_substring_edges(spark, hard):
     out = substring.substring_dedup(hard)
     assert out.columns == [*hard.columns, "_words", "_removed"]
