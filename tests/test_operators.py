@@ -87,6 +87,14 @@ def test_search_and_index(spark, tmp_path):
     assert [r.item_id for r in R.search(R.read_index(spark, str(tmp_path / "i"), "movie"), [0.1, 1.0], 1).collect()] == ["c"]
 
 
+def test_more_queries_than_a_pass_holds(spark, monkeypatch):
+    monkeypatch.setattr(R, "MOST_QUERIES", 4)
+    items = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(7)], "vec_id long, embedding array<double>")
+    queries = items.select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    got = sorted((r.q, r.vec_id) for r in R.scored(queries, items).collect())
+    assert got == [(q, i) for q in range(7) for i in range(7)]
+
+
 def test_losses(spark):
     pairs = spark.createDataFrame([(0, a, b, 1.0 if a == b else 0.0) for a in range(2) for b in range(2)], "batch int, q int, i int, s double")
     expected = math.log(1 + math.exp(-1 / 0.07))
