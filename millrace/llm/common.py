@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.blocks import pair_blocks  # noqa: F401
+
 
 #: Our own folder, made where the session names none.
 _OWN: list[str] = []
@@ -81,23 +83,6 @@ def id_remainder(id_col: Column, by: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(by))
 
 
-def pair_blocks(members: DataFrame, key: list[str], payload: list[str], spread: str, cap: int) -> DataFrame:
-    """Blocks in which every two members of a bucket meet exactly once, each of about 2 * cap members at most.
-
-    A bucket of n members is dealt by a hash of `spread` into ceil(n / cap) chunks; each pair of chunks is a block, so a
-    bucket of any size is compared completely without ever standing in one task. Buckets of one member make no block.
-    Columns: members, an array of structs (payload..., chunk), and lo, hi, the chunks; lo == hi compares a chunk with
-    itself, otherwise only members of different chunks are new pairs.
-    """
-    sizes = members.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    chunks = F.ceil(F.col("_n") / F.lit(cap)).cast("int")
-    dealt = members.join(sizes, key).withColumn("_chunks", chunks)
-    dealt = dealt.withColumn("chunk", F.when(F.col("_chunks") > 1, F.pmod(F.xxhash64(F.lit(11), spread), F.col("_chunks"))).otherwise(0).cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    dealt = dealt.withColumn("lo", F.least("chunk", "_other")).withColumn("hi", F.greatest("chunk", "_other"))
-    return dealt.groupBy(*key, "lo", "hi").agg(F.collect_list(F.struct(*payload, "chunk")).alias("members")).where(F.size("members") > 1)
-
-
 def components(edges: DataFrame, what: str, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node in edges (a, b): component is the smallest node reachable.
 

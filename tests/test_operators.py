@@ -137,6 +137,13 @@ def test_near_copies(spark):
     assert [(r.a, r.b) for r in D.exact_jaccard_pairs(df, "id", "t", 0.8).collect()] == [(1, 2)]
 
 
+def test_every_pair_of_a_large_bucket_meets(spark):
+    words = [f"w{k}" for k in range(400)]
+    df = spark.createDataFrame([(k, " ".join(words[:k] + [f"x{k}"] + words[k:])) for k in range(0, 400, 20)], "id int, t string")
+    small, whole = ({(r.a, r.b) for r in D.candidates(df, "id", "t", n).collect()} for n in (3, 1000))
+    assert small == whole and len(whole) > 100
+
+
 def test_sources(spark, tmp_path):
     df = spark.createDataFrame([("1", 'line one\nline "two", end'), ("2", None)], "id string, t string")
     S.write_csv(df, str(tmp_path / "c"))
