@@ -61,11 +61,23 @@ def give_back() -> None:
         trim(0)
 
 
+#: Spark then removes a query's shuffle files as soon as the query has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage is cut, and a lost executor costs no recomputation."""
+    """df written to the shared folder and read again: lineage is cut, and a lost executor costs no recomputation.
+
+    The shuffles that made it are of no more use and their files go at once, not when the driver next collects garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -83,30 +95,41 @@ def id_remainder(id_col: Column, by: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(by))
 
 
-def components(edges: DataFrame, what: str, most_rounds: int = 60) -> DataFrame:
+def _starred(edges: DataFrame) -> DataFrame:
+    """edges (a, b), a > b: of every a its smallest b, and the other bs joined to that one. Same components, repeats gone."""
+    least = edges.groupBy("a").agg(F.min("b").alias("_least"))
+    other = edges.join(least, "a").where("b > _least").select(F.col("b").alias("a"), F.col("_least").alias("b"))
+    return least.select("a", F.col("_least").alias("b")).union(other.distinct())
+
+
+def components(edges: DataFrame, what: str) -> DataFrame:
     """(node, component) of every node in edges (a, b): component is the smallest node reachable.
 
-    Each round takes the smallest label among a node's neighbours, then the label of that label, so that paths halve.
-    Labels live in stored tables; nothing but a checksum comes to the driver.
+    Large stars and small stars in turn: an edge to a node goes on to that node's smallest neighbour, then every node keeps
+    its smallest neighbour and hands the others to it, until all edges are stars. Edges come from tasks' forests, so a node has
+    one edge for each task that saw it; those are brought together by an aggregate before anything is joined. Edges live
+    in stored tables; nothing but a count and a checksum comes to the driver.
     """
-    both = stored(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct(), f"{what}-edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), f"{what}-labels")
+    down = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    met = down.groupBy("a").agg(F.min("b").alias("b"), F.collect_set("b").alias("_all"))  # as many as tasks saw it, at most
+    met = stored(met, f"{what}-edges")
+    handed = met.where("size(_all) > 1").select(F.explode(F.array_remove("_all", F.col("b"))).alias("a"), "b").distinct()
+    now = stored(met.select("a", "b").union(handed), f"{what}-edges")
+    discard(met)
     state = None
-    for _ in range(most_rounds):
-        now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if now == state:
+    while True:
+        reached = now.agg(F.count(F.lit(1)), F.sum(F.col("b").cast("decimal(38,0)"))).first()
+        if reached == state:
             break
-        state = now
-        near = both.join(labels, both.a == labels.node).select(F.col("b").alias("node"), "component")
-        least = stored(near.union(labels).groupBy("node").agg(F.min("component").alias("component")), f"{what}-labels")
-        up = least.select(F.col("node").alias("_up"), F.col("component").alias("_top"))
-        jumped = stored(least.join(up, least.component == up._up, "left").select("node", F.least("component", "_top").alias("component")), f"{what}-labels")
-        discard(labels)
-        discard(least)
-        labels = jumped
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    discard(both)
+        state = reached
+        up = now.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("_b"))
+        large = stored(now.join(up, now.b == up._a, "left").select("a", F.coalesce("_b", "b").alias("b")), f"{what}-edges")
+        small = stored(_starred(large), f"{what}-edges")
+        discard(now)
+        discard(large)
+        now = small
+    labels = stored(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct()), f"{what}-labels")
+    discard(now)
     return labels
 
 

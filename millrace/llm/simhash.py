@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, lean, pair_blocks, small_batches, stored
+from .common import Forest, components, discard, lean, pair_blocks, small_batches, stored
 
 BITS = 64
 GOLDEN, MIX, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -246,9 +246,12 @@ def _verified(rows: DataFrame, nodes: DataFrame, labels: DataFrame, shingle: int
     named = nodes.join(labels, "node").select("node", "fp", "component")
     texts = rows.join(named, rows._id == named.node).select("component", "node", "fp", "_text")
     sets = texts.mapInArrow(_sets(shingle, words), "component long, node long, set binary").dropDuplicates(["component", "node", "set"])
-    blocks = pair_blocks(stored(sets, "simhash-sets"), ["component"], ["node", "set"], "node", cap)
+    sets = stored(sets, "simhash-sets")
+    blocks = pair_blocks(sets, ["component"], ["node", "set"], "node", cap)
     edges = blocks.select("members", "lo", "hi").mapInArrow(_similar(least), "a long, b long")
-    return components(edges, "simhash-verified")
+    verified = components(edges, "simhash-verified")
+    discard(sets)
+    return verified
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most_bits: int | None = None, least: float = 0.8, found: float = 0.99, words: int = 4, n_refs: int | None = None, cap: int = 2048, seed: int = 7) -> DataFrame:
@@ -286,14 +289,19 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         draw = np.random.default_rng(seed)
         bits = np.stack([draw.choice(n_bits, sampled, replace=False) for _ in range(tables)])
     tabled = nodes.where("node IS NOT NULL").mapInArrow(_tabled(references(n_refs, words, seed), masks, bits), "fp binary, node long, pivots binary, keys array<long>")
-    members = stored(tabled, "simhash-tables").select(F.posexplode("keys").alias("t", "key"), "node", "fp", "pivots")
+    tabled = stored(tabled, "simhash-tables")
+    members = tabled.select(F.posexplode("keys").alias("t", "key"), "node", "fp", "pivots")
     blocks = pair_blocks(members, ["t", "key"], ["node", "fp", "pivots"], "node", cap)
     edges = blocks.select("members", "lo", "hi").mapInArrow(_links(most, n_refs, words), "a long, b long")
     labels = components(edges, "simhash")
+    discard(tabled)
     if most_bits is None:
-        labels = _verified(texts, nodes, labels, shingle, words, least, cap // 4)
+        candidates, labels = labels, _verified(texts, nodes, labels, shingle, words, least, cap // 4)
+        discard(candidates)
     top = nodes.join(labels, "node", "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "node").alias("component"))
     top = stored(top, "simhash-top")
+    discard(labels)
+    discard(nodes)
     return rows.join(top, rows.fp == top._fp).select("id", F.substring("fp", 1, 8 * words).alias("fp"), "component")
 
 
