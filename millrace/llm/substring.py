@@ -32,9 +32,10 @@ PIECE = 256
 MIX, STEP, SPREAD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15), np.uint64(0x94D049BB133111EB)
 #: Kinds of rows that meet in a range: fingerprints of the batch, spans already known to repeat, fingerprints of a run.
 NEW, SPAN, RUN = 0, 1, 2
-#: A document is its id and a hash of its text: rows that share an id and not the text are told apart.
-UNIT = {"doc": np.int64, "copy": np.int64, "start": np.int32, "count": np.int32, "anchor": np.uint64, "check": np.uint64}
-REPEAT = {"doc": np.int64, "copy": np.int64, "start": np.int32, "count": np.int32, "old_doc": np.int64, "old_copy": np.int64, "old_start": np.int32}
+#: A document is its id and 32 bits of a hash of its text: rows that share an id and not the text are told apart (should that
+#: hash not do it, spans of one would be cut from the other and not hold there, and a further try has another hash).
+UNIT = {"doc": np.int64, "copy": np.int32, "start": np.int32, "count": np.int32, "anchor": np.uint64, "check": np.uint64}
+REPEAT = {"doc": np.int64, "copy": np.int32, "start": np.int32, "count": np.int32, "old_doc": np.int64, "old_copy": np.int32, "old_start": np.int32}
 COLUMNS = list(dict.fromkeys([*UNIT, *REPEAT]))
 ROW = "kind int, range int, " + ", ".join(f"{c} binary" for c in COLUMNS)
 
@@ -144,7 +145,7 @@ def _map(bits: int, seed: int, check_bits: int, hot: np.ndarray):
         held.sort(key=lambda x: x[:2])
         length = np.array([len(x[2]) for x in held])
         start = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        doc, copy = (np.repeat(np.array([x[k] for x in held], np.int64), length) for k in (0, 1))
+        doc, copy = (np.repeat(np.array([x[k] for x in held], kind), length) for k, kind in ((0, np.int64), (1, np.int32)))
         windows = Windows(doc, copy, start.astype(np.int32), *(np.concatenate([x[k] for x in held]) for k in (2, 3)))
         head = windows.heads()
         rows, later = [], windows.later(head)
@@ -253,20 +254,28 @@ class FingerprintIndex:
         self.compactions = 0
 
     def insert(self, batch: DataFrame, keep: bool = True) -> DataFrame:
-        """batch: (_id, _copy, _text). Returns a stored table whose rows of kind SPAN are the windows that also start
-        earlier, here or in an earlier batch, and where.
+        """batch: (_id, _copy, _text). Returns a stored table of the spans of windows that also start earlier, here or in an
+        earlier batch, and where: the columns of REPEAT.
 
         keep=False leaves the batch out of the index, for a batch after which none follows.
         """
         rows = batch.mapInArrow(_map(self.bits, self.seed, self.check_bits, self.hot), ROW)
         for run in self.runs:
             rows = rows.union(run)
-        met = stored(rows.groupBy("range").applyInArrow(_merge(keep), ROW), "fingerprints")
+        met = stored(rows.groupBy("range").applyInArrow(_merge(keep), ROW), "run")
+        spans = stored(span_rows(met), "spans")
         if keep:
-            self.runs.append(stored(met.where(f"kind = {RUN}"), "run"))
+            self.runs.append(self._run(met._stored_at))
             if len(self.runs) > self.fanout:
                 self.compact()
-        return met
+        else:
+            discard(met)
+        return spans
+
+    def _run(self, path: str) -> DataFrame:
+        run = self.spark.read.schema(ROW).parquet(path).where(f"kind = {RUN}")
+        run._stored_at = path
+        return run
 
     def compact(self) -> None:
         rows = self.runs[0]
@@ -291,22 +300,19 @@ class FingerprintIndex:
     def open(spark: SparkSession, path: str) -> FingerprintIndex:
         note = spark.read.parquet(path).first()
         index = FingerprintIndex(spark, note["bits"], note["fanout"], note["seed"], note["check_bits"], np.array(note["hot"], np.int64).view(np.uint64))
-        for at in note["runs"]:
-            run = spark.read.schema(ROW).parquet(at)
-            run._stored_at = at
-            index.runs.append(run)
+        index.runs = [index._run(at) for at in note["runs"]]
         return index
 
 
 def span_rows(met: DataFrame) -> DataFrame:
-    """The spans of a table of insert(), a row each."""
+    """The spans in the merged ranges, a row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [np.frombuffer(b"".join(batch.column(c).to_pylist()), t) for c, t in REPEAT.items()]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], list(REPEAT))
 
-    return met.where(f"kind = {SPAN}").mapInArrow(run, ", ".join(f"{c} {'long' if t is np.int64 else 'int'}" for c, t in REPEAT.items()))
+    return met.where(f"kind = {SPAN}").mapInArrow(run, ", ".join(f"{c} {'bigint' if t is np.int64 else 'int'}" for c, t in REPEAT.items()))
 
 
 def whole_spans(spans: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -347,8 +353,8 @@ def claims(words: list[bytes], spans: dict[str, np.ndarray]) -> list[dict]:
     return out
 
 
-CLAIMS = "array<struct<doc: bigint, copy: bigint, start: int, words: int, digest: binary>>"
-CLAIM_TYPE = pa.list_(pa.struct([("doc", pa.int64()), ("copy", pa.int64()), ("start", pa.int32()), ("words", pa.int32()), ("digest", pa.binary())]))
+CLAIMS = "array<struct<doc: bigint, copy: int, start: int, words: int, digest: binary>>"
+CLAIM_TYPE = pa.list_(pa.struct([("doc", pa.int64()), ("copy", pa.int32()), ("start", pa.int32()), ("words", pa.int32()), ("digest", pa.binary())]))
 
 
 def _cut(digest: bool):
@@ -405,7 +411,7 @@ def range_bits(docs: DataFrame, text_col: str) -> int:
 
 
 def substring_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cuts: tuple[float, ...] = (0.05, 0.1, 0.2, 0.4), fanout: int = 3, digest: bool = False, check_bits: int = 64
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cuts: tuple[float, ...] = (0.02, 0.04, 0.08, 0.16), fanout: int = 3, digest: bool = False, check_bits: int = 64
 ) -> DataFrame:
     """docs with every word removed that lies in a window which also starts earlier: at a smaller id, or before in its row.
 
@@ -423,12 +429,14 @@ def substring_dedup(
     small_batches(spark)
     rest = [c for c in docs.columns if c != text_col]
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)], F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(text).alias("_copy"), text.alias("_text"))
-    known = rows.where("_id IS NOT NULL").select("_id", "_copy", "_text")
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)], F.col(f"`{id_col}`").cast("long").alias("_id"), text.alias("_text"))
+    known = rows.where("_id IS NOT NULL").select("_id", "_text")
     at = sorted(set(known.approxQuantile("_id", list(cuts), 0.01))) if cuts else []
     bits = range_bits(docs, text_col)
     schema = ", ".join([*(f"c{k} {rows.schema[f'c{k}'].dataType.simpleString()}" for k in range(len(rest))), f"_out string, _words long, _removed long, _claims {CLAIMS}"])
     for seed in counted():
+        copy = (F.xxhash64(F.lit(seed), "_text") % F.lit(1 << 31)).cast("int")
+        known, rows = known.withColumn("_copy", copy), rows.withColumn("_copy", copy)
         index = FingerprintIndex(spark, bits, fanout, seed, check_bits if seed == 0 else 64, hot_anchors(known, seed))
         found = []
         for k, (lo, hi) in enumerate(zip([None, *at], [*at, None])):
@@ -436,9 +444,9 @@ def substring_dedup(
             part = part if hi is None else part.where(F.col("_id") <= int(hi))
             found.append(index.insert(part, keep=k < len(at)))
         index.drop()
-        each = span_rows(found[0])
+        each = found[0]
         for more in found[1:]:
-            each = each.union(span_rows(more))
+            each = each.union(more)
         spans = each.groupBy(F.col("doc").alias("_doc"), F.col("copy").alias("_of")).agg(F.collect_list(F.struct(*list(REPEAT)[2:])).alias("_spans"))
         joined = rows.join(spans, (rows._id == spans._doc) & (rows._copy == spans._of), "left").drop("_id", "_copy", "_doc", "_of")
         out = stored(joined.mapInArrow(_cut(digest), schema), "substring")
