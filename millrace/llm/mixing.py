@@ -6,10 +6,12 @@ three target marginals in turn, and documents are kept with their cell's calibra
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 # Words that mark a topic, in English, German, French and Spanish; the first topic with a hit is taken.
 TOPICS = {
@@ -48,22 +50,62 @@ def raked(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame] | Non
 
     targets: by dimension, a frame (value, share) whose shares sum to one over the values that occur; else a value's share is
     its tokens to the power `temper`, scaled, which lifts small values. A cell without tokens stays without.
+
+    Any number of values may be in the first dimension: its factor is found where its cells are, in one row for each value.
+    The other dimensions are vocabularies (languages, topics): a round sums the cells of each of their combinations, and
+    the factors of those few are brought forward by the driver.
     """
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    out = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for k, d in enumerate(dims):
+    first, rest = dims[0], dims[1:]
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    key = F.to_json(F.array(*[F.col(d).cast("string") for d in rest]))
+    by = cells.groupBy(first).agg(F.collect_list(F.struct(key.alias("key"), F.col("tokens").cast("double").alias("tokens"), F.struct(*cells.columns).alias("cell"))).alias("_cells"), F.sum("tokens").cast("double").alias("_n"))
+    if targets and first in targets:
+        want = targets[first].select(F.col("value").alias("_value"), (F.col("share") * F.lit(total)).alias("_want"))
+        by = by.join(want, F.col(first).eqNullSafe(F.col("_value")), "left").select("_cells", F.coalesce("_want", F.lit(0.0)).alias("_want"))
+    else:
+        scale = by.agg(F.sum(F.pow("_n", F.lit(temper)))).first()[0] or 1.0
+        by = by.select("_cells", (F.pow("_n", F.lit(temper)) / F.lit(float(scale)) * F.lit(total)).alias("_want"))
+    by = stored(by, "mixing-by")
+
+    per = {r["key"]: float(r["n"]) for r in cells.groupBy(key.alias("key")).agg(F.sum("tokens").alias("n")).collect()}
+    goals: list[dict] = []
+    for k, d in enumerate(rest):
+        n: dict = {}
+        for name, x in per.items():
+            n[json.loads(name)[k]] = n.get(json.loads(name)[k], 0.0) + x
         if targets and d in targets:
-            want = targets[d].select(F.col("value").alias(f"_v{k}"), (F.col("share") * F.lit(float(total))).alias(f"_t{k}"))
-            out = out.join(want, F.col(d).eqNullSafe(F.col(f"_v{k}")), "left").drop(f"_v{k}").withColumn(f"_t{k}", F.coalesce(f"_t{k}", F.lit(0.0)))
+            share = {r["value"]: float(r["share"]) for r in targets[d].collect()}
+            goals.append({v: share.get(v, 0.0) * total for v in n})
         else:
-            per = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("n"))
-            scale = per.agg(F.sum(F.pow("n", F.lit(temper)))).first()[0] or 1.0
-            out = out.withColumn(f"_t{k}", F.pow(F.sum(F.col("tokens").cast("double")).over(Window.partitionBy(d)), F.lit(temper)) / F.lit(float(scale)) * F.lit(float(total)))
-    for _ in range(rounds):
-        for k, d in enumerate(dims):
-            now = F.sum("weight").over(Window.partitionBy(d))
-            out = out.withColumn("_now", now).withColumn("weight", F.when(F.col("_now") > 0, F.col("weight") * F.col(f"_t{k}") / F.col("_now")).otherwise(0.0))
-    return out.select(*cells.columns, "weight")
+            scale = sum(x**temper for x in n.values()) or 1.0
+            goals.append({v: x**temper / scale * total for v, x in n.items()})
+
+    factor = dict.fromkeys(per, 1.0)
+
+    def scaled() -> DataFrame:
+        """Cells with the weight that meets the first dimension's targets under the present factors of the others."""
+        each = F.from_json(F.lit(json.dumps(factor)), "map<string,double>")
+        weighed = F.transform("_cells", lambda c: F.struct(c["key"].alias("key"), (c["tokens"] * F.element_at(each, c["key"])).alias("w"), c["cell"].alias("cell")))
+        now = F.aggregate("_weighed", F.lit(0.0), lambda sum_, c: sum_ + c["w"])
+        out = by.select("_want", weighed.alias("_weighed")).select(F.when(now > 0, F.col("_want") / now).otherwise(0.0).alias("_by"), F.explode("_weighed").alias("c"))
+        return out.select("c.key", "c.cell", (F.col("c.w") * F.col("_by")).alias("w"))
+
+    for left in range(rounds, 0, -1):
+        if left == 1:
+            last = stored(scaled(), "mixing-last")
+        found = (last if left == 1 else scaled()).groupBy("key").agg(F.sum("w").alias("w"))
+        sums, change = {r["key"]: r["w"] for r in found.collect()}, dict.fromkeys(per, 1.0)
+        for k, goal in enumerate(goals):
+            now = dict.fromkeys(goal, 0.0)
+            for name, w in sums.items():
+                now[json.loads(name)[k]] += w * change[name]
+            for name in change:
+                v = json.loads(name)[k]
+                change[name] *= goal[v] / now[v] if now[v] > 0 else 0.0
+        factor = {name: x * change[name] for name, x in factor.items()}
+    discard(by)
+    more = F.from_json(F.lit(json.dumps(change)), "map<string,double>")
+    return last.select("cell.*", (F.col("w") * F.element_at(more, F.col("key"))).alias("weight"))
 
 
 def calibrated(cells: DataFrame, share: float, rounds: int = 10) -> DataFrame:
@@ -77,31 +119,50 @@ def calibrated(cells: DataFrame, share: float, rounds: int = 10) -> DataFrame:
         full, rest = cells.agg(F.sum(F.when(p >= 1, F.col("tokens")).otherwise(0)).cast("double"), F.sum(F.when(p < 1, F.col("tokens") * p).otherwise(0.0))).first()
         if not rest or share * total <= full:
             break
-        factor *= (share * total - full) / rest
+        grown = factor * (share * total - full) / rest
+        if grown == factor:
+            break
+        factor = grown
     return cells.withColumn("probability", F.least(F.lit(1.0), ratio * F.lit(factor)))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, DataFrame] | None = None, temper: float = 0.7, share: float = 0.7, seed: int = 9) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    lang_col: str = "lang",
+    topic_col: str | None = None,
+    targets: dict[str, DataFrame] | None = None,
+    temper: float = 0.7,
+    share: float = 0.7,
+    seed: int = 9,
+) -> DataFrame:
     """docs with _topic, _tokens, _weight (the row's raked tokens), _probability and _kept.
 
-    Dimensions are source, lang and topic; null is a value like any other in each. _kept: the hash of the id is under the
-    cell's probability, so rows that share an id share a draw, and rows without id share one. Null and empty texts weigh
-    nothing and are kept with the probability of a document of weight one. Empty tables give none. All columns of docs stay
-    as they are; names with a leading underscore are replaced if taken.
+    Dimensions are source, lang and topic (topic_col, or marker words and form of the text); null is a value like any other
+    in each. _kept: the hash of the id is under the cell's probability, so rows that share an id share a draw, and rows
+    without id share one. Null and empty texts weigh nothing and are kept with the probability of a document of weight one.
+    Empty tables give none. All columns of docs stay as they are, whatever their names; only a column with the name of an
+    output is replaced by it.
     """
-    dims = ["_source", "_lang", "_topic"]
-    rows = docs.withColumn("_source", F.col(f"`{source_col}`").cast("string")).withColumn("_lang", F.col(f"`{lang_col}`").cast("string"))
-    rows = rows.withColumn("_topic", topic(F.col(f"`{text_col}`"))).withColumn("_tokens", tokens(F.col(f"`{text_col}`")))
-    cells = stored(rows.groupBy(*dims).agg(F.sum("_tokens").alias("tokens")), "mixing-cells")
-    cells = stored(raked(cells, dims, {f"_{k}": v for k, v in (targets or {}).items()}, temper), "mixing-raked")
-    cells = stored(calibrated(cells, share), "mixing-calibrated")
-    right = cells.select(*[F.col(d).alias(f"_cell{d}") for d in dims], F.col("tokens").alias("_cell_tokens"), F.col("weight").alias("_cell_weight"), F.col("probability").alias("_probability"))
-    on = F.col("_source").eqNullSafe(F.col("_cell_source")) & F.col("_lang").eqNullSafe(F.col("_cell_lang")) & F.col("_topic").eqNullSafe(F.col("_cell_topic"))
-    out = rows.join(right, on, "left")
-    out = out.withColumn("_weight", F.when(F.col("_cell_tokens") > 0, F.col("_tokens") * F.col("_cell_weight") / F.col("_cell_tokens")).otherwise(0.0))
-    out = out.withColumn("_kept", chance(F.col(f"`{id_col}`"), seed) < F.col("_probability"))
-    drop = [c for c in ("_source", "_lang", "_cell_source", "_cell_lang", "_cell_topic", "_cell_tokens", "_cell_weight") if c not in docs.columns]
-    return out.drop(*drop)
+    dims = ["source", "lang", "topic"]
+    rest = [c for c in docs.columns if c not in ("_topic", "_tokens", "_weight", "_probability", "_kept")]
+    of = lambda c: F.col(f"`{c}`")
+    rows = docs.select(
+        *[of(c).alias(f"c{k}") for k, c in enumerate(rest)], of(id_col).alias("id"), of(source_col).cast("string").alias("source"), of(lang_col).cast("string").alias("lang"),
+        (of(topic_col).cast("string") if topic_col else topic(of(text_col))).alias("topic"), tokens(of(text_col)).alias("tokens"),
+    )
+    cells = stored(rows.groupBy(*dims).agg(F.sum("tokens").alias("tokens")), "mixing-cells")
+    weighed = stored(raked(cells, dims, targets, temper), "mixing-raked")
+    right = calibrated(weighed, share)
+    right = right.select(*[F.col(d).alias(f"cell_{d}") for d in dims], F.col("tokens").alias("cell_tokens"), F.col("weight").alias("cell_weight"), "probability")
+    on = F.col("source").eqNullSafe(F.col("cell_source")) & F.col("lang").eqNullSafe(F.col("cell_lang")) & F.col("topic").eqNullSafe(F.col("cell_topic"))
+    weight = F.when(F.col("cell_tokens") > 0, F.col("tokens") * F.col("cell_weight") / F.col("cell_tokens")).otherwise(0.0)
+    return rows.join(right, on, "left").select(
+        *[F.col(f"c{k}").alias(c) for k, c in enumerate(rest)], F.col("topic").alias("_topic"), F.col("tokens").alias("_tokens"), weight.alias("_weight"),
+        F.col("probability").alias("_probability"), (chance(F.col("id"), seed) < F.col("probability")).alias("_kept"),
+    )
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -135,14 +135,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
     A document is its text's ids, then end_id; null and empty texts are the end alone. Full pieces of `size` ids are
     sequences of their own; the rest of each document is packed whole, in groups of about group_docs documents (a hash of id
-    and text deals them, so null and repeated ids spread). sequence_id is the group, times 2**32, plus the sequence's place.
+    and text deals them, and of rows without id their place in the table). sequence_id is the group, times 2**32, plus the sequence's place.
     crc32 is over the piece's ids as little-endian unsigned 32-bit numbers. Very long texts only make more full pieces,
     repeated rows are packed each, empty tables give none, and other columns are not read.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     groups = max(1, math.ceil(docs.count() / group_docs))
-    rows = rows.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "_id", "_text"), F.lit(groups)))
+    nameless = F.when(F.col("_id").isNull(), F.monotonically_increasing_id())
+    rows = rows.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "_id", "_text", nameless), F.lit(groups)))
     pieces = rows.mapInArrow(_pieces(path, size, end_id), f"{PIECE}, _group long")
     return pieces.groupBy("_group").applyInArrow(_pack(size), f"{PIECE}, sequence_id long, offset long")
 
