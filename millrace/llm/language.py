@@ -121,18 +121,19 @@ class Model:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 400, most_languages: int = 200, seed: int = 17) -> Model:
-    """A model from a sample of the labelled rows: about per_language of each of the most_languages commonest languages.
+    """A model from a sample of the labelled rows: about per_language texts of each of the most_languages commonest languages.
 
-    That bound is the only thing that is sampled: what is learned is a classifier of fixed size.
+    Those bounds are the only thing that is sampled or left out: what is learned is a classifier of fixed size. Copies of a
+    text count once, so that a language of few texts, each however often, is learned from all of them.
     """
     rows = labelled.select(F.col(f"`{text_col}`").cast("string").alias("_text"), F.col(f"`{lang_col}`").cast("string").alias("_lang"))
     rows = rows.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull())
-    sizes = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_lang").limit(most_languages).collect()}
+    sizes = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.approx_count_distinct(F.xxhash64("_text")).alias("n")).orderBy(F.desc("n"), "_lang").limit(most_languages).collect()}
     if not sizes:
         return Model(np.zeros((0, DIMS), np.float32), [])
     share = F.lit(0.0)
     for lang, n in sizes.items():
-        share = F.when(F.col("_lang") == lang, F.lit(per_language / n)).otherwise(share)
+        share = F.when(F.col("_lang") == lang, F.lit(1.1 * per_language / n)).otherwise(share)
     place = F.pmod(F.xxhash64("_text", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +148,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
                     value.append(counts[full].astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(at, pa.binary()), pa.array(value, pa.binary())], ["lang", "at", "value"])
 
-    sample = rows.where(place < share).mapInArrow(lean(measured), "lang string, at binary, value binary").collect()
+    sample = rows.where(place < share).mapInArrow(lean(measured), "lang string, at binary, value binary").distinct().collect()
     sample.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["value"])))
     x = np.zeros((len(sample), DIMS), np.float32)
     for k, r in enumerate(sample):
