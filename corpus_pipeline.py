@@ -9,16 +9,23 @@ from millrace.llm import language, mixing, packing, simhash, substring
 from millrace.llm.common import stored
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs under plain names, which no output of a stage can clash with, and the plain name of each column."""
+    name = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(k) for c, k in name.items()]), name
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID, learned from the rows that name a language. Rows without a letter go; the others take the predicted lang.
 
     Where no row names a language, rows with a letter keep their null.
     """
     model = language.fit(docs.where("lang IS NOT NULL"))
-    out = language.identify(docs, model, lang_out="_lang_pred", score_out="_score")
     if not model.families:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return out.where("_lang_pred <> 'und'").select(*[F.col("_lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+    apart, name = _apart(docs)
+    out = language.identify(apart, model, text_col=name["text"], lang_out="found", score_out="score").where("found <> 'und'")
+    return out.select(*[F.col("found" if c == "lang" else name[c]).alias(c) for c in docs.columns])
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +35,16 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of words seen earlier are cut out; a document of which nothing is left goes. n_chars follows the text."""
-    out = substring.substring_dedup(docs).where("_removed < _words OR _words = 0")
-    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    apart, name = _apart(docs)
+    out = substring.substring_dedup(apart, name["doc_id"], name["text"]).where("_removed < _words OR _words = 0")
+    return out.select(*[F.length(name["text"]).cast("long").alias(c) if c == "n_chars" else F.col(name[c]).alias(c) for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn with probabilities that bring source, language and topic to their target weights."""
-    return mixing.mix(docs).where("_kept").select(*docs.columns)
+    apart, name = _apart(docs)
+    out = mixing.mix(apart, name["doc_id"], name["text"], name["source"], name["lang"]).where("_kept")
+    return out.select(*[F.col(name[c]).alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
