@@ -295,10 +295,6 @@ def content_text(desc_most: int = 600, **fields: Column) -> Column:
     return labelled(**{k: clean(v) for k, v in cut.items()})
 
 
-def _stripped_start(c: Column, pattern: str) -> Column:
-    return F.trim(F.regexp_replace(c, pattern, ""))
-
-
 # Promotion that book descriptions begin with.
 BADGE = (
     r"(?i)^\s*(an?\s+)?(instant\s+)?(#\d+\s+)?((new york times|usa today|wall street journal|amazon charts|indie|national|international|los angeles times)"
@@ -309,16 +305,16 @@ CROSS_PROMO = r"(?i)^\s*don'?t miss\b.{0,200}?\bavailable\s+(to\s+(pre-?)?order\
 BLURB = "^\\s*[\"“]([^\"“”]{5,400})[\"”]\\s*[-–—]{1,2}\\s*([A-Z][^\"“]{0,200}?)(?=[\"“]|\\z|(?<=[.)])\\s+[A-Z][a-z]+\\s+[a-z]+\\s+[a-z]+)"
 
 
-def clean_description(c: Column, passes: int = 3) -> Column:
-    """Without badges, sales, cross-promotion and leading review quotes, peeled off again and again.
+def clean_description(c: Column) -> Column:
+    """Without badges, sales, cross-promotion and leading review quotes, peeled off until none is left, however many there are."""
+    peeled = "|".join(f"(?:{p})" for p in (_anywhere(x) for x in (BADGE, COPIES_SOLD, CROSS_PROMO, BLURB)))
+    return F.trim(F.regexp_replace(F.trim(c), f"^(?:{peeled})++", ""))
+
 
-    Each pass takes off any of the four; passes beyond what a text needs change nothing.
-    """
-    out = F.trim(c)
-    for _ in range(passes):
-        for p in (BADGE, COPIES_SOLD, CROSS_PROMO, BLURB):
-            out = _stripped_start(out, p)
-    return out
+def _anywhere(pattern: str) -> str:
+    """A pattern of a beginning, without its anchor, and with its flags for itself alone."""
+    flags = "(?i)" if pattern.startswith("(?i)") else ""
+    return flags + pattern.removeprefix(flags).removeprefix("^")
 
 
 def strip_wrapping(c: Column) -> Column:

@@ -22,10 +22,16 @@ def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     return best.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 
 
-def lookup(df: DataFrame, cache: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """Join of a cache whose keys are made unique first, so that no row is multiplied."""
-    values = [c for c in cache.columns if c != key]
-    unique = cache.groupBy(key).agg(*[F.any_value(c).alias(c) for c in values])
+def lookup(df: DataFrame, cache: DataFrame, key: str, how: str = "left", order: str | None = None) -> DataFrame:
+    """Join of a cache whose keys are made unique first, so that no row is multiplied.
+
+    Of the rows of a key the last by `order` counts, all its values together; ties, and a cache without an order, go to the
+    row whose values are the largest.
+    """
+    values = [c for c in cache.columns if c != key and c != order]
+    row = F.struct(*[F.col(c) for c in values])
+    last = F.max(row) if order is None else F.max_by(row, F.struct(F.col(order), row))
+    unique = cache.groupBy(key).agg(last.alias("_row")).select(key, *[F.col("_row")[c].alias(c) for c in values]) if values else cache.select(key).distinct()
     return df.join(unique, key, how)
 
 

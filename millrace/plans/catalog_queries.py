@@ -329,16 +329,17 @@ def _(t):
 
 
 def _pairs(t):
+    """The stated query set, every vector whose id is divisible by 100, against all vectors."""
     e = t("embeddings")
-    return R.scored(e.where("vec_id < 20").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"), F.col("label").alias("q_label")), e)
+    return R.scored(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"), F.col("label").alias("q_label")), e)
 
 
-PAIRS = "SELECT q.vec_id AS q, q.label AS q_label, i.vec_id, i.label, list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS score FROM embeddings i, (SELECT * FROM embeddings WHERE vec_id < 20) q"
-GOLD = f"SELECT q, count(*) FILTER (WHERE round(score, 9) > own) AS rank FROM (SELECT *, max(CASE WHEN vec_id = (q * 7 + 3) % 100 THEN round(score, 9) END) OVER (PARTITION BY q) AS own FROM ({PAIRS})) GROUP BY q"
+PAIRS = "SELECT q.vec_id AS q, q.label AS q_label, i.vec_id, i.label, list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS score FROM embeddings i, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q"
+GOLD = f"SELECT q, count(*) FILTER (WHERE round(score, 9) > own) AS rank FROM (SELECT *, max(CASE WHEN vec_id = (q // 100 * 7 + 3) % 100 THEN round(score, 9) END) OVER (PARTITION BY q) AS own FROM ({PAIRS})) GROUP BY q"
 
 
 def _gold(t):
-    return R.gold_ranks(_pairs(t).withColumn("score", F.round("score", 9)), "q", F.col("vec_id") == (F.col("q") * 7 + 3) % 100)
+    return R.gold_ranks(_pairs(t).withColumn("score", F.round("score", 9)), "q", F.col("vec_id") == (F.floor(F.col("q") / 100) * 7 + 3) % 100)
 
 
 @query("W2_gold_rank", GOLD)
@@ -698,7 +699,8 @@ def _(t):
 
 @query("C9_clean_description", "SELECT p_partkey, p_name AS blurb FROM part")
 def _(t):
-    raw = F.concat(F.lit("#1 New York Times bestseller. Over 1,000 copies sold! "), F.col("p_name"))
+    stacked = F.repeat(F.lit("Over 1,000 copies sold! "), F.pmod("p_partkey", F.lit(9)).cast("int"))
+    raw = F.concat(F.lit("#1 New York Times bestseller. "), stacked, F.lit("Don't miss the next one, available now. "), F.col("p_name"))
     return t("part").select("p_partkey", T.clean_description(raw).alias("blurb"))
 
 
@@ -791,7 +793,7 @@ def _(t):
     return X.isolation_scores(t("part"), ["p_retailprice", "p_size"]).select("p_partkey", six("isolation").alias("isolation"))
 
 
-@query("N14_similarities", """SELECT q, vec_id, round(score, 6) AS cosine, round(1 / (1 + list_distance(a, b)), 6) AS euclidean FROM (SELECT q.vec_id AS q, i.vec_id, q.embedding::DOUBLE[] AS a, i.embedding::DOUBLE[] AS b, list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS score FROM embeddings i, (SELECT * FROM embeddings WHERE vec_id < 20) q)""")
+@query("N14_similarities", """SELECT q, vec_id, round(score, 6) AS cosine, round(1 / (1 + list_distance(a, b)), 6) AS euclidean FROM (SELECT q.vec_id AS q, i.vec_id, q.embedding::DOUBLE[] AS a, i.embedding::DOUBLE[] AS b, list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS score FROM embeddings i, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)""")
 def _(t):
     return _pairs(t).select("q", "vec_id", six("score").alias("cosine"), six(N.euclidean_similarity(F.col("qv"), F.col("embedding"))).alias("euclidean"))
 
@@ -806,11 +808,11 @@ def _(t):
     return R.centred(t("embeddings"), "label", "embedding").select("vec_id", "label", F.round(N.norm(F.col("embedding")), 6).alias("norm"))
 
 
-@query("N18_info_nce", f"""WITH p AS (SELECT 0 AS batch, q, vec_id AS i, score / 0.07 AS l FROM ({PAIRS}) WHERE vec_id < 20),
+@query("N18_info_nce", f"""WITH p AS (SELECT 0 AS batch, q, vec_id AS i, score / 0.07 AS l FROM ({PAIRS}) WHERE vec_id % 100 = 0),
     a AS (SELECT q, max(l) + ln(sum(exp(l - 100))) - max(l) + 100 - max(CASE WHEN q = i THEN l END) AS x FROM p GROUP BY q), b AS (SELECT i, ln(sum(exp(l - 100))) + 100 - max(CASE WHEN q = i THEN l END) AS x FROM p GROUP BY i)
     SELECT 0 AS batch, round(((SELECT avg(x) FROM a) + (SELECT avg(x) FROM b)) / 2, 5) AS loss""")
 def _(t):
-    pairs = _pairs(t).where("vec_id < 20").withColumn("batch", F.lit(0))
+    pairs = _pairs(t).where("vec_id % 100 = 0").withColumn("batch", F.lit(0))
     return R.info_nce(pairs, "batch", "q", "vec_id", "score").withColumn("loss", F.round("loss", 5))
 
 
@@ -913,11 +915,12 @@ def _(t):
     return _pairs(t).groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 5).alias("mean"), six(F.max("score")).alias("best"))
 
 
-@query("J13_bucket_pairs", "SELECT a.text AS text, a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id WHERE b.doc_id - a.doc_id < 50")
+@query("J13_bucket_pairs", "SELECT text, first AS a, doc_id AS b FROM (SELECT text, doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents WHERE text IS NOT NULL) WHERE doc_id > first")
 def _(t):
-    d = t("documents").select("text", "doc_id")
-    pairs = d.withColumnRenamed("doc_id", "a").join(d.withColumnRenamed("doc_id", "b"), "text")
-    return pairs.where("a < b AND b - a < 50")
+    """Equal texts: the first of each bucket with every other member, which is whole and grows with the members alone."""
+    d = t("documents").where("text IS NOT NULL").select("text", F.col("doc_id").alias("b"))
+    first = d.groupBy("text").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return d.join(first, "text").where("b > a").select("text", "a", "b")
 
 
 @query("J14_in_batch_pairs", "SELECT u.label AS label, count(*) AS n FROM embeddings u JOIN embeddings v ON u.label = v.label AND u.vec_id // 64 = v.vec_id // 64 GROUP BY u.label")

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merge import remaining
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -46,13 +45,17 @@ def write_cache(df: DataFrame, path: str, key: str, value: str) -> None:
 
 
 def append_checkpoint(done: DataFrame, path: str, key: str) -> DataFrame:
-    """Rows not stored yet are appended; a restart appends nothing twice."""
+    """Rows whose key is not stored yet are appended; a restart appends nothing twice, rows without a key included.
+
+    One writer at a time. A folder that does not exist yet, or is empty, holds nothing.
+    """
     spark = done.sparkSession
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
-    new = remaining(done, spark.read.parquet(path), key) if exists else done
-    new.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    if jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path):
+        old = spark.read.schema(done.schema).parquet(path).select(F.col(key).alias("_stored")).distinct()
+        done = done.join(old, F.col(key).eqNullSafe(F.col("_stored")), "left_anti")
+    done.write.mode("append").parquet(path)
+    return spark.read.schema(done.schema).parquet(path)
 
 
 def versioned_overwrite(df: DataFrame, path: str, run_date: date, dry_run: bool = False) -> dict[str, int | str]:

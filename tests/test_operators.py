@@ -196,3 +196,19 @@ def test_numbering_matches_a_plain_order(spark):
     for g in ("x", None):
         assert [within[r.id] for r in plain if r.g == g] == list(range(len([r for r in plain if r.g == g])))
     assert X.numbered(df.limit(0), F.col("v")).count() == 0
+
+
+def test_lookup_takes_whole_rows_and_the_last(spark):
+    cache = spark.createDataFrame([(1, "a", 9, 1), (1, "b", 2, 3), (1, "c", 5, 2), (2, None, 1, 1)], "k int, x string, y int, at int")
+    df = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    assert sorted(map(tuple, M.lookup(df, cache, "k", order="at").collect())) == [(1, "b", 2), (2, None, 1), (3, None, None)]
+    assert {tuple(r) for r in M.lookup(df, cache.drop("at"), "k").collect()} == {(1, "c", 5), (2, None, 1), (3, None, None)}
+
+
+def test_checkpoint_takes_rows_without_a_key_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
+    path = str(tmp_path / "done")
+    for _ in range(3):
+        assert S.append_checkpoint(rows, path, "k").count() == 2
+    (tmp_path / "empty").mkdir()
+    assert S.append_checkpoint(rows, str(tmp_path / "empty"), "k").count() == 2

@@ -78,3 +78,9 @@ def test_null_texts_do_not_fail(spark):
 def test_pearson(spark):
     a, b = F.array(*[L(float(x)) for x in (1, 2, 3)]), F.array(*[L(float(x)) for x in (2, 4, 6)])
     assert value(spark, N.pearson_similarity(a, b)) == pytest.approx(1, abs=1e-6)
+
+
+def test_description_is_cleaned_to_the_end(spark):
+    texts = ["1 million copies sold! " * 12 + "Prose.", "Don't miss it, available now. Over 5 copies sold #1 New York Times bestseller. 2 copies sold! Tale", "Prose, 5 copies sold!"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(T.clean_description(F.col("t")))
+    assert [r[0] for r in df.collect()] == ["Prose.", "Tale", "Prose, 5 copies sold!"]
