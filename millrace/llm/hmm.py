@@ -1,9 +1,10 @@
 """Scores of texts under a hidden Markov language model trained on the corpus.
 
 Tokens are words and one end. The commonest words emit as themselves; all others share classes by a hash, inside which a word
-has its smoothed share of the training count, so the model's size is bounded while every word's count enters. Baum-Welch
-counts are gathered over all training texts by each partition and summed by class; the forward recursion, scaled at every
-step, gives the exact likelihood of a whole text.
+has its smoothed share of the training count. The classes grow in number with the vocabulary, and every word's count enters.
+Start values come from the counts of neighbouring classes in all training texts, to which a chain of latent states is fitted.
+Then Baum-Welch counts are gathered over all whole training texts by each partition and summed by class, until the
+likelihood hardly grows; the forward recursion, scaled at every step, gives the exact likelihood of a whole text.
 """
 
 from __future__ import annotations
@@ -79,16 +80,15 @@ def log10_likelihoods(sequences: list[np.ndarray], start: np.ndarray, move: np.n
     return out
 
 
-def expected_counts(sequences: list[np.ndarray], opening: np.ndarray, start: np.ndarray, stay: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts (start, moves, emissions by class) of segments; `opening` marks those that begin a text."""
+def expected_counts(sequences: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts (start, moves, emissions by class) of whole texts, and their log likelihood."""
     steps = Steps(sequences)
-    opening = opening[steps.order]
     seen = emit[steps.ids]
     ahead, scale = np.empty_like(seen), np.empty(len(seen), seen.dtype)
     a = None
     for t, n in enumerate(steps.running.tolist()):
         lo, hi = steps.at[t], steps.at[t + 1]
-        a = np.where(opening[:, None], start, stay) * seen[lo:hi] if t == 0 else (a[:n] @ move) * seen[lo:hi]
+        a = start * seen[lo:hi] if t == 0 else (a[:n] @ move) * seen[lo:hi]
         s = a.sum(axis=1)
         a = a / s[:, None]
         ahead[lo:hi], scale[lo:hi] = a, s
@@ -100,14 +100,14 @@ def expected_counts(sequences: list[np.ndarray], opening: np.ndarray, start: np.
     state = ahead * back
     later = steps.where[~steps.first]
     moves = move * (ahead[steps.before[~steps.first]].T @ (scaled[later] * back[later]))
-    starts = state[: len(opening)][opening].sum(axis=0)
+    starts = state[: len(sequences)].sum(axis=0)
     emitted = np.stack([np.bincount(steps.ids, state[:, k], len(emit)) for k in range(state.shape[1])], axis=1)
-    return starts, moves, emitted
+    return starts, moves, emitted, float(np.log(scale, dtype=np.float64).sum())
 
 
 class Hmm:
-    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, stay: np.ndarray) -> None:
-        self.start, self.move, self.emit, self.stay = start, move, emit, stay
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
+        self.start, self.move, self.emit = start, move, emit
 
     @staticmethod
     def from_counts(start: np.ndarray, moves: np.ndarray, emitted: np.ndarray, unigram: np.ndarray, prior: float) -> Hmm:
@@ -115,15 +115,31 @@ class Hmm:
         total = emitted.sum(axis=0)
         emit = (emitted + prior * unigram[:, None]) / (total + prior)
         move = (moves + 1) / (moves.sum(axis=1, keepdims=True) + k)
-        return Hmm((start + 1) / (start.sum() + k), move, emit, (total + 1) / (total.sum() + k))
+        return Hmm((start + 1) / (start.sum() + k), move, emit)
 
-    def counts(self, sequences, opening):
+    def counts(self, sequences):
         f = np.float32
-        return expected_counts(sequences, opening, self.start.astype(f), self.stay.astype(f), self.move.astype(f), self.emit.astype(f))
+        return expected_counts(sequences, self.start.astype(f), self.move.astype(f), self.emit.astype(f))
 
 
-def segments(ids: np.ndarray, size: int) -> list[np.ndarray]:
-    return [ids[k : k + size] for k in range(0, len(ids), size)]
+def latent_chain(pairs: np.ndarray, states: int, seed: int, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """(emissions, moves) of latent states fitted to the counts of neighbouring classes, by expectation and maximisation.
+
+    A pair (a, b) has the probability sum over s, t of joint[s, t] * emit[a, s] * emit[b, t].
+    """
+    draw = np.random.default_rng(seed)
+    share = pairs / pairs.sum()
+    emit = (share.sum(axis=0) + 1e-9)[:, None] * draw.gamma(1.0, size=(len(pairs), states))
+    emit /= emit.sum(axis=0)
+    joint = np.full((states, states), 0.1 / states**2) + np.eye(states) * 0.9 / states
+    for _ in range(rounds):
+        ratio = share / np.maximum(emit @ joint @ emit.T, 1e-300)
+        left, right = ratio @ emit @ joint.T, ratio.T @ emit @ joint  # emit times these: what a class gives as first, as second
+        joint = joint * (emit.T @ ratio @ emit)
+        emit = emit * (left + right)
+        emit /= np.maximum(emit.sum(axis=0), 1e-300)
+        joint /= joint.sum()
+    return emit, joint / np.maximum(joint.sum(axis=1, keepdims=True), 1e-300)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -149,36 +165,35 @@ def _count(held: int):
     return lean(run)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, size: int, tokens: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """Training segments of at most `size` tokens, about `tokens` tokens together, and which of them open a text."""
-    held: list[np.ndarray] = []
-    opening: list[bool] = []
-    n = 0
+def _batches(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, long: int = 1500, short_tokens: int = 500_000, long_tokens: int = 800_000) -> Iterator[list[np.ndarray]]:
+    """Whole training texts, some together; those of over `long` tokens wait for each other, so that few steps run over few texts."""
+    held: dict[bool, list[np.ndarray]] = {False: [], True: []}
+    size, most = {False: 0, True: 0}, {False: short_tokens, True: long_tokens}
     for batch in batches:
         for text in batch.column("_text"):
             ids = lexicon.encode(_words(text.as_py()))[0]
-            parts = segments(ids, size)
-            held += parts
-            opening += [True] + [False] * (len(parts) - 1)
-            n += len(ids)
-            if n >= tokens:
-                yield held, np.array(opening)
-                held, opening, n = [], [], 0
-    if held:
-        yield held, np.array(opening)
+            which = len(ids) > long
+            held[which].append(ids)
+            size[which] += len(ids)
+            if size[which] >= most[which]:
+                yield held[which]
+                held[which], size[which] = [], 0
+    for rest in held.values():
+        if rest:
+            yield rest
 
 
 def score(
-    docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", states: int = 6, rounds: int = 2, head_words: int = 150_000, tails: int = 256, segment: int = 1024, first_tokens: int = 150_000, prior: float = 100.0, seed: int = 3
+    docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", states: int = 6, rounds: int = 3, gain: float = 0.003, head_words: int = 150_000, tail_words: int = 2048, prior: float = 100.0, seed: int = 3
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; `train` is the condition to learn from.
 
     base_score is the additive unigram's log10 probability over all tokens, score the hidden Markov model's, both exact over
-    the whole text. The model: `head_words` bounds the words that are classes of their own (the commonest, by count), `tails`
-    the hashed classes. Start values come from Baum-Welch over about first_tokens tokens; then every round gathers counts
-    over all training texts, in segments of `segment` tokens. A null or empty text is the end alone. Rows without id are
-    scored and count as any other; repeated rows each count and are scored each; with nothing to learn from, every word is
-    unknown. Empty tables give none; other columns are not read.
+    the whole text. The model: the `head_words` commonest words are classes of their own; all others are dealt by a hash to
+    classes of about `tail_words` words each, 256 at least. Rounds gather counts over all whole training texts and end when
+    the log likelihood has grown by less than the share `gain`, after `rounds` at the latest. A null or empty text is the
+    end alone. Rows without id are scored and count as any other; repeated rows each count and are scored each; with nothing
+    to learn from, every word is unknown. Empty tables give none; other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -188,6 +203,7 @@ def score(
     ends = learn.count()
     step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
     sizes = sorted(((r["step"], r["v"], r["n"]) for r in words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).collect()), reverse=True)
+    tails = 1 << max(8, math.ceil(math.log2(max(1, sum(s[1] for s in sizes) - head_words) / tail_words)))
     n_tokens, n_words = sum(s[2] for s in sizes) + ends, sum(s[1] for s in sizes) + (ends > 0)
     least, room = math.inf, head_words
     for s, v, _ in sizes:
@@ -209,79 +225,87 @@ def score(
     below = n_tokens + ADD * (n_words + 1)
     base = np.r_[np.log10((head_n + ADD) / below), math.log10((ends + ADD) / below)]
 
-    model = _start_values(learn, lexicon_bytes, h + 1 + tails, tails, unigram, states, segment, first_tokens, n_tokens, prior, seed)
+    model = _start_values(learn, lexicon_bytes, tails, unigram, states, prior, seed) if n_tokens else None
+    reached = -math.inf
     for _ in range(rounds if n_tokens else 0):
-        model = _round(learn, spark.sparkContext.broadcast(model), lexicon_bytes, tails, unigram, segment, prior)
+        model, now = _round(learn, spark.sparkContext.broadcast(model), lexicon_bytes, tails, unigram, prior)
+        if now - reached < gain * abs(now):
+            break
+        reached = now
+    if model is None:
+        model = Hmm(np.full(states, 1 / states), np.full((states, states), 1 / states), np.repeat(unigram[:, None], states, axis=1))
 
-    given = spark.sparkContext.broadcast((model, base, int(ends > 0)))
+    given = spark.sparkContext.broadcast((model, base, int(ends > 0), np.log10(tail_n + ADD * (tail_v + 1))))
     numbered = rows.withColumn("_row", F.monotonically_increasing_id())
     kind = rows.schema["_id"].dataType.simpleString()
-    scored = numbered.mapInArrow(_score(given, lexicon_bytes, tails), f"_row long, _id {kind}, held_out boolean, n_tokens long, head_known long, head_base double, score double, words array<string>, times array<long>")
+    scored = numbered.mapInArrow(_score(given, lexicon_bytes, tails), f"_row long, _id {kind}, held_out boolean, n_tokens long, head_known long, head_base double, score double, tail_words long, words array<string>, times array<long>")
     scored = stored(scored, "hmm-scored")
     each = scored.select("_row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("_row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     known = each.join(tail, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    in_class = F.element_at(F.array(*[F.lit(float(x)) for x in tail_n + ADD * (tail_v + 1)]), tail_class + 1)
     sums = known.groupBy(F.col("_row").alias("_tail_row")).agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("tail_known"),
-        F.sum(F.col("times") * F.log10((F.col("n") + ADD) / F.lit(float(below)))).alias("tail_base"),
-        F.sum(F.col("times") * F.log10((F.col("n") + ADD) / in_class)).alias("tail_score"),
+        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("tail_known"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(ADD))).alias("tail_log")
     )
     out = scored.drop("words", "times").join(sums, F.col("_row") == F.col("_tail_row"), "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return out.select(
         F.col("_id").alias(id_col), "held_out", "n_tokens", (F.col("head_known") + zero("tail_known")).alias("n_known"), F.lit(int(n_tokens)).cast("long").alias("train_tokens"),
-        (F.col("head_base") + zero("tail_base")).alias("base_score"), (F.col("score") + zero("tail_score")).alias("score"),
+        (F.col("head_base") + zero("tail_log") - F.col("tail_words") * F.lit(math.log10(below))).alias("base_score"), (F.col("score") + zero("tail_log")).alias("score"),
     )
 
 
-def _start_values(learn, lexicon_bytes, size, tails, unigram, states, segment, first_tokens, n_tokens, prior, seed) -> Hmm:
-    draw = np.random.default_rng(seed)
-    noise = draw.gamma(1.0, size=(size, states))
-    emit = unigram[:, None] * noise
-    model = Hmm(np.full(states, 1 / states), np.full((states, states), 0.1 / max(states - 1, 1)), emit / emit.sum(axis=0), np.full(states, 1 / states))
-    np.fill_diagonal(model.move, 0.9)
-    if not n_tokens:
-        return model
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(lexicon_bytes.value, tails)
+def _start_values(learn, lexicon_bytes, tails, unigram, states, prior, seed, common: int = 1024, rare: int = 256) -> Hmm:
+    """Start values from the neighbours in all training texts: a latent chain over the commonest classes and groups of the others."""
+    size = len(unigram)
+    order = np.argsort(-unigram, kind="stable")
+    group = np.empty(size, np.int32)
+    group[order] = np.where(np.arange(size) < common, np.arange(size), common + np.arange(size) % rare)
+    groups = int(group.max()) + 1
+    given = learn.sparkSession.sparkContext.broadcast(group)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, pairs, first = Lexicon(lexicon_bytes.value, tails), np.zeros(groups * groups, np.int64), np.zeros(groups, np.int64)
         for batch in batches:
-            ids = [lexicon.encode(_words(t.as_py()))[0] for t in batch.column("_text")]
-            yield pa.RecordBatch.from_arrays([pa.array([s.tobytes() for i in ids for s in segments(i, segment)[:1]], pa.binary())], ["ids"])
-
-    share = min(1.0, first_tokens / n_tokens)
-    place = F.pmod(F.xxhash64("_text", F.lit(seed)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)
-    found = sorted(bytes(r["ids"]) for r in learn.where(place).mapInArrow(encoded, "ids binary").limit(first_tokens).collect())
-    sample = [np.frombuffer(x, np.int32) for x in found]
-    if not sample:
-        return model
-    present, back = np.unique(np.concatenate(sample), return_inverse=True)  # only the classes that occur matter here
-    cuts = np.cumsum([len(s) for s in sample])[:-1]
-    local = np.split(back.astype(np.int32), cuts)
-    small = Hmm(model.start, model.move, model.emit[present], model.stay)
-    opening = np.ones(len(local), bool)
-    for _ in range(20):
-        start, moves, emitted = small.counts(local, opening)
-        small = Hmm.from_counts(start, moves, emitted, unigram[present] / unigram[present].sum(), 10.0)
-    whole = np.zeros((size, states))
-    whole[present] = emitted
-    return Hmm.from_counts(start, moves, whole, unigram, 0.2 * emitted.sum() / states)
-
-
-def _round(learn, model, lexicon_bytes, tails, unigram, segment, prior) -> Hmm:
-    """One Baum-Welch round over all training texts."""
+            for text in batch.column("_text"):
+                g = given.value[lexicon.encode(_words(text.as_py()))[0]].astype(np.int64)
+                first[g[0]] += 1
+                if len(g) > 1:
+                    at, n = np.unique(g[:-1] * groups + g[1:], return_counts=True)
+                    pairs[at] += n
+        for values, offset in ((pairs, 0), (first, groups * groups)):
+            at = np.flatnonzero(values)
+            for k in range(0, len(at), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 50_000] + offset), pa.array(values[at[k : k + 50_000]])], ["pair", "n"])
+
+    total = learn.mapInArrow(lean(gather), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(groups * groups + groups)
+    counts[total["pair"].to_numpy()] = total["n"].to_numpy()
+    pairs, first = counts[: groups * groups].reshape(groups, groups), counts[groups * groups :]
+    if not pairs.any():  # no text has a word
+        return Hmm.from_counts(np.zeros(states), np.zeros((states, states)), np.zeros((size, states)), unigram, prior)
+    emit, move = latent_chain(pairs, states, seed)
+    mass = np.bincount(group, unigram, groups)
+    state = emit * pairs.sum(axis=0).clip(1)[:, None]  # of a group, how likely each state; its classes share that
+    state /= np.maximum(state.sum(axis=1, keepdims=True), 1e-300)
+    n = pairs.sum() + first.sum()
+    return Hmm.from_counts(first @ state, move * pairs.sum() / states, n * unigram[:, None] * (emit / np.maximum(mass, 1e-300)[:, None])[group] / states, unigram, prior)
+
+
+def _round(learn, model, lexicon_bytes, tails, unigram, prior) -> tuple[Hmm, float]:
+    """One Baum-Welch round over all training texts; with the log likelihood that they had before it."""
     states = len(model.value.start)
     names = [f"s{k}" for k in range(states)]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(lexicon_bytes.value, tails)
-        start, moves, emitted = np.zeros(states), np.zeros((states, states)), np.zeros((lexicon.size, states))
-        for sequences, opening in _batches(batches, lexicon, segment, 500_000):
-            for total, found in zip((start, moves, emitted), model.value.counts(sequences, opening)):
-                total += found
+        start, moves, emitted, reached = np.zeros(states), np.zeros((states, states)), np.zeros((lexicon.size, states)), 0.0
+        for sequences in _batches(batches, lexicon):
+            *found, more = model.value.counts(sequences)
+            reached += more
+            for total, part in zip((start, moves, emitted), found):
+                total += part
         full = np.flatnonzero(emitted.sum(axis=1))
-        cls = np.r_[full, -1, -2 - np.arange(states)]
-        values = np.r_[emitted[full], start[None], moves]
+        cls = np.r_[full, -1, -2 - np.arange(states), -2 - states]
+        values = np.r_[emitted[full], start[None], moves, np.full((1, states), reached)]
         for at in range(0, len(cls), 20_000):
             part = slice(at, at + 20_000)
             yield pa.RecordBatch.from_arrays([pa.array(cls[part], pa.int64()), *(pa.array(np.ascontiguousarray(values[part, k])) for k in range(states))], ["class", *names])
@@ -292,7 +316,7 @@ def _round(learn, model, lexicon_bytes, tails, unigram, segment, prior) -> Hmm:
     emitted = np.zeros((len(unigram), states))
     emitted[cls[cls >= 0]] = values[cls >= 0]
     by = {int(c): v for c, v in zip(cls, values) if c < 0}
-    return Hmm.from_counts(by[-1], np.stack([by[-2 - k] for k in range(states)]), emitted, unigram, prior)
+    return Hmm.from_counts(by[-1], np.stack([by[-2 - k] for k in range(states)]), emitted, unigram, prior), float(by[-2 - states][0])
 
 
 def _score(given, lexicon_bytes, tails: int, long: int = 1500, short_tokens: int = 400_000, long_tokens: int = 2_000_000) -> Callable:
@@ -300,9 +324,9 @@ def _score(given, lexicon_bytes, tails: int, long: int = 1500, short_tokens: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(lexicon_bytes.value, tails)
-        model, base, end_known = given.value
-        names = ["_row", "_id", "held_out", "n_tokens", "head_known", "head_base", "score", "words", "times"]
-        kinds = [pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+        model, base, end_known, in_class = given.value
+        names = ["_row", "_id", "held_out", "n_tokens", "head_known", "head_base", "score", "tail_words", "words", "times"]
+        kinds = [pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
 
         def out(held: list[tuple]) -> pa.RecordBatch:
             found = log10_likelihoods([x[-1] for x in held], model.start, model.move, model.emit)
@@ -310,7 +334,8 @@ def _score(given, lexicon_bytes, tails: int, long: int = 1500, short_tokens: int
             for (row, i, train, other, ids), value in zip(held, found.tolist()):
                 own = ids[ids <= lexicon.end]
                 tail = Counter(other)
-                rows.append((row, i, not train, len(ids), len(own) - 1 + end_known, float(base[own].sum()), value, [w.decode() for w in tail], list(tail.values())))
+                value -= float(in_class[ids[ids > lexicon.end] - lexicon.end - 1].sum())  # a word has its count's share of its class
+                rows.append((row, i, not train, len(ids), len(own) - 1 + end_known, float(base[own].sum()), value, len(other), [w.decode() for w in tail], list(tail.values())))
             return pa.RecordBatch.from_arrays([pa.array(list(c), k or kind) for c, k in zip(zip(*rows), kinds)], names)
 
         held: dict[bool, list[tuple]] = {False: [], True: []}

@@ -232,14 +232,16 @@ def test_forward_and_counts_against_all_paths():
     from itertools import product
 
     draw = np.random.default_rng(1)
-    start, stay = (x / x.sum() for x in draw.random((2, 2)))
+    start = draw.random(2)
+    start /= start.sum()
     move = draw.random((2, 2))
     move /= move.sum(axis=1, keepdims=True)
     emit = draw.random((3, 2))
     emit /= emit.sum(axis=0)
     sequences = [np.array(s, np.int32) for s in ([0, 1, 2, 2], [1], [2, 0, 1, 1, 0], [0, 0])]
     got = hmm.log10_likelihoods(sequences, start, move, emit)
-    first, moves, emitted = hmm.expected_counts(sequences, np.ones(4, bool), start, stay, move, emit)
+    first, moves, emitted, reached = hmm.expected_counts(sequences, start, move, emit)
+    assert reached == pytest.approx(got.sum() * math.log(10))
     f, m, e = np.zeros(2), np.zeros((2, 2)), np.zeros((3, 2))
     for s, value in zip(sequences, got):
         paths = {}
