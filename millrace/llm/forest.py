@@ -1,8 +1,8 @@
 """Embedding near-duplicates by a forest of random-projection trees with spill.
 
 Every tree splits the vectors by random projections, again and again; a vector close to a split goes both ways. Vectors that
-share a leaf of any tree, and a label, are compared exactly. The trees are fitted on a bounded sample and are small; every
-vector is sent down every tree. A pair that meets in several leaves is counted in the first of them only.
+share a leaf of any tree, and a label, are compared exactly. The trees are fitted on a bounded sample and are small,
+however many vectors there are; every vector is sent down every tree. A pair that meets in several leaves is counted in the first of them only.
 """
 
 from __future__ import annotations
@@ -15,47 +15,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, pair_blocks, stored
+from .common import components, discard, lean, pair_blocks, small_batches, stored
 
 
 class Tree:
-    """One random direction for each level, a threshold and a margin for each node."""
+    """One random direction for each level. The upper levels, where the sample has enough in a node, have a threshold and a
+    margin for each node; all nodes of a lower level share the split of the whole sample, so a tree's size is bounded by the
+    sample's, however deep it is."""
 
-    def __init__(self, sample: np.ndarray, levels: int, spill: float, seed: int) -> None:
+    def __init__(self, sample: np.ndarray, levels: int, spill: float, seed: int, least: int = 16) -> None:
         draw = np.random.default_rng(seed)
         self.directions = draw.standard_normal((levels, sample.shape[1]))
         self.directions /= np.linalg.norm(self.directions, axis=1, keepdims=True)
         self.cuts: list[np.ndarray] = []
         self.margins: list[np.ndarray] = []
         node = np.zeros(len(sample), np.int64)
-        cut_above, width_above = np.zeros(1), np.ones(1)
-        for level in range(levels):
-            p = sample @ self.directions[level]
-            order = np.argsort(node, kind="stable")
-            at = np.searchsorted(node[order], np.arange((1 << level) + 1))
-            cut, width = np.repeat(cut_above, 2)[: 1 << level], np.repeat(width_above, 2)[: 1 << level]
-            if level:
-                parents = np.arange(1 << level) // 2
-                cut, width = cut_above[parents], width_above[parents]
-            mean, spread = (p.mean(), p.std()) if len(p) else (0.0, 1.0)
-            cut = np.full(1 << level, mean)
-            width = np.full(1 << level, spread)
-            for k in range(1 << level):
-                mine = p[order[at[k] : at[k + 1]]]
-                if len(mine) >= 16:  # else the split of all: the sample says nothing closer
-                    cut[k], width[k] = np.quantile(mine, draw.uniform(0.4, 0.6)), mine.std()
-            cut_above, width_above = cut, width
+        for level, direction in enumerate(self.directions):
+            p = sample @ direction
+            mean, width = (p.mean(), p.std()) if len(p) else (0.0, 1.0)
+            own = 1 << level if (least << level) <= len(sample) else 1
+            cut, margin = np.full(own, mean), np.full(own, spill * width)
+            if own > 1 or level == 0:
+                order = np.argsort(node, kind="stable")
+                at = np.searchsorted(node[order], np.arange(own + 1))
+                for k in range(own):
+                    mine = p[order[at[k] : at[k + 1]]]
+                    if len(mine) >= least:  # else the split of all: the sample says nothing closer
+                        cut[k], margin[k] = np.quantile(mine, draw.uniform(0.4, 0.6)), spill * mine.std()
+                node = 2 * node + (p > cut[node])
             self.cuts.append(cut)
-            self.margins.append(spill * width)
-            node = 2 * node + (p > cut[node])
+            self.margins.append(margin)
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of every row, once for each leaf that it reaches."""
         row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-        for level, direction in enumerate(self.directions):
-            off = (x @ direction)[row] - self.cuts[level][node]
-            right, margin = off > 0, self.margins[level][node]
-            both = np.abs(off) <= margin
+        for direction, cuts, margins in zip(self.directions, self.cuts, self.margins):
+            place = node if len(cuts) > 1 else np.zeros(len(node), np.int64)
+            off = (x @ direction)[row] - cuts[place]
+            right = off > 0
+            both = np.abs(off) <= margins[place]
             row, node = np.r_[row, row[both]], np.r_[2 * node + right, 2 * node[both] + ~right[both]]
         return row, node
 
@@ -161,6 +159,7 @@ def near_vectors(
     nothing: n_links 0, component the row's own id. Equal vectors of a label are one class and stay linked; rows that share
     an id count each. Only vectors of equal length are compared. Empty tables give none; other columns are not read.
     """
+    small_batches(rows.sparkSession)
     rows = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("vector"), F.col(f"`{label_col}`").cast("string").alias("label"))
     usable = rows.where("id IS NOT NULL AND label IS NOT NULL AND vector IS NOT NULL")
     classes = stored(usable.groupBy("label", "vector").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")), "forest-classes")
@@ -176,11 +175,11 @@ def near_vectors(
     trees = [Tree(sample, levels, spill, seed + t) for t in range(n_trees)]
     # An equal vector may have several ids of copies: the smallest names its class; two classes never share one with unique ids.
     vector_type = classes.schema["vector"].dataType.simpleString()
-    routed = classes.mapInArrow(_route(trees, dims), "node long, label string, copies long, unit binary, codes array<long>")
+    routed = classes.mapInArrow(lean(_route(trees, dims)), "node long, label string, copies long, unit binary, codes array<long>")
     routed = stored(routed, "forest-routed")
     members = routed.withColumn("code", F.explode("codes")).withColumn("width", F.length("unit"))
     blocks = pair_blocks(members, ["label", "width", "code"], ["node", "copies", "unit", "codes"], "node", cap)
-    found = stored(blocks.select("code", "lo", "hi", "members").mapInArrow(_compare(least), "a long, b long, n long"), "forest-links")
+    found = stored(blocks.select("code", "lo", "hi", "members").mapInArrow(lean(_compare(least)), "a long, b long, n long"), "forest-links")
     labels = components(found.where("b IS NOT NULL").select("a", "b"), "forest")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     valid = routed.select("node", "label").withColumn("valid", F.lit(True))
@@ -188,6 +187,8 @@ def near_vectors(
     n_links = F.when(F.col("valid"), F.coalesce("n", F.lit(0)) + F.col("copies") - 1).otherwise(0)
     by_class = by_class.select(F.col("label").alias("_label"), F.col("vector").cast(vector_type).alias("_vector"), n_links.alias("n_links"), F.when(F.col("valid"), F.coalesce("component", "node")).alias("component"))
     by_class = stored(by_class, "forest-by-class")
+    for x in (classes, routed, found, labels):
+        discard(x)
     out = rows.join(by_class, (rows.label == by_class._label) & (rows.vector == by_class._vector) & rows.id.isNotNull(), "left")
     return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component"))
 

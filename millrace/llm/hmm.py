@@ -264,13 +264,13 @@ def _start_values(learn, lexicon_bytes, tails, unigram, states, prior, seed, com
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, pairs, first = Lexicon(lexicon_bytes.value, tails), np.zeros(groups * groups, np.int64), np.zeros(groups, np.int64)
-        for batch in batches:
-            for text in batch.column("_text"):
-                g = given.value[lexicon.encode(_words(text.as_py()))[0]].astype(np.int64)
-                first[g[0]] += 1
-                if len(g) > 1:
-                    at, n = np.unique(g[:-1] * groups + g[1:], return_counts=True)
-                    pairs[at] += n
+        for sequences in _batches(batches, lexicon):
+            begin = np.cumsum([0, *(len(x) for x in sequences[:-1])])
+            g = given.value[np.concatenate(sequences)].astype(np.int64)
+            first += np.bincount(g[begin], minlength=groups)
+            within = np.ones(len(g), bool)
+            within[begin] = False  # a text's first token has none before it
+            pairs += np.bincount((g[:-1] * groups + g[1:])[within[1:]], minlength=groups * groups)
         for values, offset in ((pairs, 0), (first, groups * groups)):
             at = np.flatnonzero(values)
             for k in range(0, len(at), 50_000):

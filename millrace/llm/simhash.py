@@ -247,7 +247,7 @@ def _verified(rows: DataFrame, nodes: DataFrame, labels: DataFrame, shingle: int
     texts = rows.join(named, rows._id == named.node).select("component", "node", "fp", "_text")
     sets = texts.mapInArrow(_sets(shingle, words), "component long, node long, set binary").dropDuplicates(["component", "node", "set"])
     sets = stored(sets, "simhash-sets")
-    blocks = pair_blocks(sets, ["component"], ["node", "set"], "node", cap)
+    blocks = pair_blocks(sets, ["component"], ["node", "set"], "node", cap, apart=True)
     edges = blocks.select("members", "lo", "hi").mapInArrow(_similar(least), "a long, b long")
     verified = components(edges, "simhash-verified")
     discard(sets)

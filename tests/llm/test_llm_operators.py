@@ -460,6 +460,17 @@ def test_vectors_against_all_pairs(spark):
     assert forest.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_trees_do_not_grow_with_the_vectors():
+    import pickle
+
+    draw = np.random.default_rng(9)
+    sample = draw.standard_normal((2000, 16))
+    size = [len(pickle.dumps([forest.Tree(sample, levels, 0.15, 1)])) for levels in (10, 24)]
+    assert size[1] < 1.5 * size[0]
+    row, leaf = forest.Tree(sample, 24, 0.15, 1).leaves(sample[:100])
+    assert set(row.tolist()) == set(range(100)) and leaf.max() < 1 << 24
+
+
 # --- mixing -----------------------------------------------------------------------------------------------------------
 
 
