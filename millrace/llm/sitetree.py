@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import lean, small_batches, stored
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?:/?[a-zA-Z!?][^<>]*)?\Z", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?:/?[a-zA-Z!?][^<>]*)?\Z|</?[a-zA-Z][^<>]*>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 TOKEN = re.compile(r"[a-z]+")
 # Elements by what HTML says of them, and usual names of what surrounds an article.
@@ -155,7 +155,7 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.string()), *(pa.array(list(c), pa.int64()) for c in cols[1:]), pa.array(list(seen.values()), pa.int64())], ["host", "path", "above", "feature", "n"])
 
 
-def _importance(mixing: float, low: float, least_pages: int):
+def _importance(mixing: float, low: float, prior: float):
     def run(table: pa.Table) -> pa.Table:
         """A host's tree, from the leaves up: composite importance of each branch; the low ones are returned."""
         rows = table.to_pylist()
@@ -189,16 +189,19 @@ def _importance(mixing: float, low: float, least_pages: int):
             inner = (1 - weight) * sum(parts) / len(parts) + weight * looks if parts else looks
             value = max(texts) if texts else inner
             done[p] = value, max([value, *(done[c][1] for c in under if c in done)])
-        out = [p for p, (_, most) in done.items() if most < low] if pages >= least_pages else []
+        # A page or two say little: `prior` pages more, on which everything was different, are imagined.
+        out = [p for p, (_, most) in done.items() if (pages * most + prior) / (pages + prior) < low]
         return pa.table({"host": pa.array([rows[0]["host"]] * len(out), pa.string()), "path": pa.array(out, pa.int64())})
 
     return run
 
 
 def main_text(source: str, low: frozenset[int]) -> str:
+    """The blocks outside the low branches and of what markup calls the article; all of these if each is in a low branch."""
     page = Page(source)
     article = any(b[2] and not b[3] for b in page.blocks)
-    return "\n".join(text for path, chain, inside, aside, text in page.blocks if not aside and (inside or not article) and low.isdisjoint(chain))
+    own = [(chain, text) for _, chain, inside, aside, text in page.blocks if not aside and (inside or not article)]
+    return "\n".join([text for chain, text in own if low.isdisjoint(chain)] or [text for _, text in own])
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,12 +210,13 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", mixing: float = 0.9, low: float = 0.05, least_pages: int = 8) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", mixing: float = 0.9, low: float = 0.05, prior: float = 0.2) -> DataFrame:
     """(id, url, text, n_chars) of every page: its main text, blocks joined by one newline.
 
-    A branch is removed where its importance and all in it are under `low` on its host, on hosts of at least `least_pages` pages, and where
-    its element, class, id or role names it a menu, header, footer, sidebar, notice, advert, form or comments. Where a page
-    marks an article, only that is taken. Null or empty html gives an empty text; pages without a host in their url form one
+    A branch is removed where its importance and all in it are under `low` on its host, `prior` imagined pages without it
+    included, unless nothing would be left of a page (all of a host's pages may be copies); and, since boilerplate whose words
+    differ on every page has a high entropy, where its element, class, id or role names it a menu, header, footer, sidebar,
+    notice, advert, form or comments. Where a page marks an article, only that is taken. Null or empty html gives an empty text; pages without a host in their url form one
     site; a null url stays null. Repeated pages are all returned, empty tables give none, and other columns are not read.
     """
     small_batches(pages.sparkSession)
@@ -223,7 +227,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     nodes = counts.groupBy("host", "path", "above", kind).agg(
         F.sum("n").alias("shown"), F.count(F.lit(1)).alias("features"), F.sum(F.log("n")).alias("log_n"), F.sum(F.col("n") * F.log("n")).alias("n_log_n")
     )
-    low_paths = nodes.groupBy("host").applyInArrow(_importance(mixing, low, least_pages), "host string, path long")
+    low_paths = nodes.groupBy("host").applyInArrow(_importance(mixing, low, prior), "host string, path long")
     low_paths = stored(low_paths.groupBy("host").agg(F.collect_set("path").alias("low")).withColumnRenamed("host", "_host"), "sitetree")
     site = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     joined = rows.withColumn("_site", site).join(low_paths, F.col("_site") == F.col("_host"), "left").select("_id", "url", "html", "low")
