@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, lean, small_batches, stored
+from .common import discard, id_remainder, lean, small_batches, stored
 
 END = " "  # no word holds a blank
 ADD = 0.1
@@ -165,13 +165,24 @@ def _count(held: int):
     return lean(run)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, long: int = 1500, short_tokens: int = 500_000, long_tokens: int = 800_000) -> Iterator[list[np.ndarray]]:
+def _encoded(lexicon_bytes, tails: int):
+    """The classes of a text's words, made once for all passes of the training."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(lexicon_bytes.value, tails)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([lexicon.encode(_words(x.as_py()))[0].tobytes() for x in batch.column("_text")], pa.binary())], ["ids"])
+
+    return lean(run)
+
+
+def _batches(batches: Iterator[pa.RecordBatch], long: int = 1500, short_tokens: int = 500_000, long_tokens: int = 800_000) -> Iterator[list[np.ndarray]]:
     """Whole training texts, some together; those of over `long` tokens wait for each other, so that few steps run over few texts."""
     held: dict[bool, list[np.ndarray]] = {False: [], True: []}
     size, most = {False: 0, True: 0}, {False: short_tokens, True: long_tokens}
     for batch in batches:
-        for text in batch.column("_text"):
-            ids = lexicon.encode(_words(text.as_py()))[0]
+        for text in batch.column("ids"):
+            ids = np.frombuffer(text.as_buffer(), np.int32)
             which = len(ids) > long
             held[which].append(ids)
             size[which] += len(ids)
@@ -225,13 +236,16 @@ def score(
     below = n_tokens + ADD * (n_words + 1)
     base = np.r_[np.log10((head_n + ADD) / below), math.log10((ends + ADD) / below)]
 
-    model = _start_values(learn, lexicon_bytes, tails, unigram, states, prior, seed) if n_tokens else None
+    coded = stored(learn.mapInArrow(_encoded(lexicon_bytes, tails), "ids binary"), "hmm-coded") if n_tokens else None
+    model = _start_values(coded, unigram, states, prior, seed) if n_tokens else None
     reached = -math.inf
     for _ in range(rounds if n_tokens else 0):
-        model, now = _round(learn, spark.sparkContext.broadcast(model), lexicon_bytes, tails, unigram, prior)
+        model, now = _round(coded, spark.sparkContext.broadcast(model), unigram, prior)
         if now - reached < gain * abs(now):
             break
         reached = now
+    if coded is not None:
+        discard(coded)
     if model is None:
         model = Hmm(np.full(states, 1 / states), np.full((states, states), 1 / states), np.repeat(unigram[:, None], states, axis=1))
 
@@ -253,18 +267,18 @@ def score(
     )
 
 
-def _start_values(learn, lexicon_bytes, tails, unigram, states, prior, seed, common: int = 1024, rare: int = 256) -> Hmm:
+def _start_values(coded, unigram, states, prior, seed, common: int = 1024, rare: int = 256) -> Hmm:
     """Start values from the neighbours in all training texts: a latent chain over the commonest classes and groups of the others."""
     size = len(unigram)
     order = np.argsort(-unigram, kind="stable")
     group = np.empty(size, np.int32)
     group[order] = np.where(np.arange(size) < common, np.arange(size), common + np.arange(size) % rare)
     groups = int(group.max()) + 1
-    given = learn.sparkSession.sparkContext.broadcast(group)
+    given = coded.sparkSession.sparkContext.broadcast(group)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, pairs, first = Lexicon(lexicon_bytes.value, tails), np.zeros(groups * groups, np.int64), np.zeros(groups, np.int64)
-        for sequences in _batches(batches, lexicon):
+        pairs, first = np.zeros(groups * groups, np.int64), np.zeros(groups, np.int64)
+        for sequences in _batches(batches):
             begin = np.cumsum([0, *(len(x) for x in sequences[:-1])])
             g = given.value[np.concatenate(sequences)].astype(np.int64)
             first += np.bincount(g[begin], minlength=groups)
@@ -276,7 +290,7 @@ def _start_values(learn, lexicon_bytes, tails, unigram, states, prior, seed, com
             for k in range(0, len(at), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 50_000] + offset), pa.array(values[at[k : k + 50_000]])], ["pair", "n"])
 
-    total = learn.mapInArrow(lean(gather), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    total = coded.mapInArrow(lean(gather), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(groups * groups + groups)
     counts[total["pair"].to_numpy()] = total["n"].to_numpy()
     pairs, first = counts[: groups * groups].reshape(groups, groups), counts[groups * groups :]
@@ -290,15 +304,14 @@ def _start_values(learn, lexicon_bytes, tails, unigram, states, prior, seed, com
     return Hmm.from_counts(first @ state, move * pairs.sum() / states, n * unigram[:, None] * (emit / np.maximum(mass, 1e-300)[:, None])[group] / states, unigram, prior)
 
 
-def _round(learn, model, lexicon_bytes, tails, unigram, prior) -> tuple[Hmm, float]:
+def _round(coded, model, unigram, prior) -> tuple[Hmm, float]:
     """One Baum-Welch round over all training texts; with the log likelihood that they had before it."""
     states = len(model.value.start)
     names = [f"s{k}" for k in range(states)]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(lexicon_bytes.value, tails)
-        start, moves, emitted, reached = np.zeros(states), np.zeros((states, states)), np.zeros((lexicon.size, states)), 0.0
-        for sequences in _batches(batches, lexicon):
+        start, moves, emitted, reached = np.zeros(states), np.zeros((states, states)), np.zeros(model.value.emit.shape), 0.0
+        for sequences in _batches(batches):
             *found, more = model.value.counts(sequences)
             reached += more
             for total, part in zip((start, moves, emitted), found):
@@ -310,7 +323,7 @@ def _round(learn, model, lexicon_bytes, tails, unigram, prior) -> tuple[Hmm, flo
             part = slice(at, at + 20_000)
             yield pa.RecordBatch.from_arrays([pa.array(cls[part], pa.int64()), *(pa.array(np.ascontiguousarray(values[part, k])) for k in range(states))], ["class", *names])
 
-    total = learn.mapInArrow(lean(gather), "class long, " + ", ".join(f"{n} double" for n in names)).groupBy("class").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    total = coded.mapInArrow(lean(gather), "class long, " + ", ".join(f"{n} double" for n in names)).groupBy("class").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     cls = total["class"].to_numpy()
     values = np.stack([total[n].to_numpy() for n in names], axis=1)
     emitted = np.zeros((len(unigram), states))
