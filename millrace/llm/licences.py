@@ -38,8 +38,9 @@ TEMPLATES = {
 }
 COMMON = frozenset("a an and any are as be by for from have if in is it may must not of on or other provided subject such that the their this to under with without you your".split())
 NOISE = r"[^\p{L}\p{N}]+"
-#: Where a sentence ends: its last character, then white space, that of line and paragraph ends included.
-ENDS, CUT = r"([.!?;])[\x20\t\n\r]+", "\x01"
+#: Where a sentence ends: its last character, then white space, that of line and paragraph ends included. A number in front of
+#: an item of a list ends none.
+ENDS, CUT = r"((?:[^0-9\x20\t\n\r]|[0-9]\.[0-9]+)[.!?;])[\x20\t\n\r]+", "\x01"
 
 
 def template_grams(text: str) -> list[str]:
@@ -49,7 +50,7 @@ def template_grams(text: str) -> list[str]:
 
 def most_sentences(templates: dict[str, str]) -> int:
     """Sentences to a run: as many as the longest template has, and one more."""
-    return 1 + max((len(re.split(ENDS[1:].replace(")", "", 1), t)) for t in templates.values()), default=0)
+    return 1 + max((len(re.sub(ENDS, r"\1" + CUT, t).split(CUT)) for t in templates.values()), default=0)
 
 
 def witnesses(grams: dict[str, list[str]], least: float) -> list[str]:
@@ -103,21 +104,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     parts = rows.select("_id", F.explode(F.concat(lines, paragraphs, whole)).alias("s")).select("_id", "s.segment", "s.number", F.lit(0).alias("sentences"), F.col("s.part").alias("part"))
     parts = parts.withColumn("_low", low("part")).where(holds).drop("_low")
 
-    def witness(text: Column) -> Column:
+    def witness(lowered: Column) -> Column:
         out = F.lit(False)
         for w in words:
-            out = out | F.contains(F.lower(text), F.lit(w))
+            out = out | F.contains(lowered, F.lit(w))
         return out
 
     most = most_sentences(templates or TEMPLATES)
-    split = rows.select("_id", F.split(F.regexp_replace("_text", ENDS, f"$1{CUT}"), CUT).alias("all"))
+    split = rows.select("_id", F.split(F.regexp_replace(low("_text"), ENDS, f"$1{CUT}"), CUT).alias("all"))  # lower-cased once
     marked = F.filter(F.transform("all", lambda x, k: F.when(witness(x), k + 1)), lambda k: k.isNotNull())
-    first = lambda k: F.greatest(F.lit(1), k - (most - 1))
-    near = F.transform(marked, lambda k: F.struct(k.alias("at"), first(k).alias("low"), F.slice("all", first(k), F.lit(2 * most - 1)).alias("near")))
+    # The array is exploded for what it holds, so the marks are made once.
+    split = split.select("_id", F.explode(F.array(F.struct("all", marked.alias("marked")))).alias("s")).select("_id", "s.*").where(F.size("marked") > 0)
+    # Of a run's marked sentences the first one makes it: a run begins after the mark before.
+    first = lambda k, at: F.greatest(F.lit(1), k - (most - 1), F.coalesce(F.get("marked", at - 1) + 1, F.lit(1)))
+    near = F.transform("marked", lambda k, at: F.struct(k.alias("at"), first(k, at).alias("low"), F.slice("all", first(k, at), k - first(k, at) + most).alias("near")))
     runs = split.select("_id", F.size("all").alias("n"), F.explode(near).alias("s")).select("_id", "n", "s.*")
     runs = runs.withColumn("number", F.explode(F.sequence("low", "at")))
-    before = F.slice("near", F.col("number") - F.col("low") + 1, F.col("at") - F.col("number"))
-    runs = runs.where(~F.exists(before, witness))  # of a run's marked sentences the first one makes it
     runs = runs.withColumn("sentences", F.explode(F.sequence(F.col("at") - F.col("number") + 1, F.least(F.lit(most), F.col("n") - F.col("number") + 1))))
     run = F.array_join(F.slice("near", F.col("number") - F.col("low") + 1, F.col("sentences")), " ")
     parts = parts.unionByName(runs.select("_id", F.lit("run").alias("segment"), "number", "sentences", run.alias("part")))
