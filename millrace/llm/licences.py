@@ -71,7 +71,8 @@ def witnesses(grams: dict[str, list[str]], least: float) -> list[str]:
 
 
 def bigrams(text: Column) -> Column:
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), NOISE, " ")), " ")
+    """Distinct bigrams of a lower-case text."""
+    words = F.split(F.trim(F.regexp_replace(text, NOISE, " ")), " ")
     n = F.size(words) - 1
     pairs = F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))  # no lambda over words: it would be made anew for each
     return F.when(n > 0, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
@@ -92,17 +93,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     known = F.from_json(F.lit(json.dumps([{"name": n, "grams": g} for n, g in grams.items()])), "array<struct<name string, grams array<string>>>")
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     words = witnesses(grams, least)
-    holds = F.lit(False)
-    for w in words:
-        holds = holds | F.contains(F.col("_low"), F.lit(w))
-    low = lambda c: F.lower(c)
-    rows = rows.withColumn("_low", low("_text")).where(holds).drop("_low")
-    lines = F.transform(F.split("_text", "\n"), lambda x, k: F.struct(F.lit("line").alias("segment"), (k + 1).alias("number"), x.alias("part")))
-    blocks = F.split("_text", r"\n[\x20\t\r]*\n")
-    paragraphs = F.filter(F.transform(blocks, lambda x, k: F.struct(F.lit("paragraph").alias("segment"), (k + 1).alias("number"), x.alias("part"))), lambda s: F.contains(s["part"], F.lit("\n")))
-    whole = F.when(F.size(blocks) > 1, F.array(F.struct(F.lit("text").alias("segment"), F.lit(1).alias("number"), F.col("_text").alias("part")))).otherwise(F.array().cast("array<struct<segment string, number int, part string>>"))
-    parts = rows.select("_id", F.explode(F.concat(lines, paragraphs, whole)).alias("s")).select("_id", "s.segment", "s.number", F.lit(0).alias("sentences"), F.col("s.part").alias("part"))
-    parts = parts.withColumn("_low", low("part")).where(holds).drop("_low")
 
     def witness(lowered: Column) -> Column:
         out = F.lit(False)
@@ -110,8 +100,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             out = out | F.contains(lowered, F.lit(w))
         return out
 
+    # The explode is a barrier: a condition moved below it would lower the text anew for every witness.
+    rows = rows.select("_id", F.explode(F.array(F.lower("_text"))).alias("_text")).where(witness(F.col("_text")))
+    lines = F.transform(F.split("_text", "\n"), lambda x, k: F.struct(F.lit("line").alias("segment"), (k + 1).alias("number"), x.alias("part")))
+    blocks = F.split("_text", r"\n[\x20\t\r]*\n")
+    paragraphs = F.filter(F.transform(blocks, lambda x, k: F.struct(F.lit("paragraph").alias("segment"), (k + 1).alias("number"), x.alias("part"))), lambda s: F.contains(s["part"], F.lit("\n")))
+    whole = F.when(F.size(blocks) > 1, F.array(F.struct(F.lit("text").alias("segment"), F.lit(1).alias("number"), F.col("_text").alias("part")))).otherwise(F.array().cast("array<struct<segment string, number int, part string>>"))
+    parts = rows.select("_id", F.explode(F.concat(lines, paragraphs, whole)).alias("s")).select("_id", "s.segment", "s.number", F.lit(0).alias("sentences"), F.col("s.part").alias("part"))
+    parts = parts.where(witness(F.col("part")))
+
     most = most_sentences(templates or TEMPLATES)
-    split = rows.select("_id", F.split(F.regexp_replace(low("_text"), ENDS, f"$1{CUT}"), CUT).alias("all"))  # lower-cased once
+    split = rows.select("_id", F.split(F.regexp_replace("_text", ENDS, f"$1{CUT}"), CUT).alias("all"))
     marked = F.filter(F.transform("all", lambda x, k: F.when(witness(x), k + 1)), lambda k: k.isNotNull())
     # The array is exploded for what it holds, so the marks are made once.
     split = split.select("_id", F.explode(F.array(F.struct("all", marked.alias("marked")))).alias("s")).select("_id", "s.*").where(F.size("marked") > 0)
