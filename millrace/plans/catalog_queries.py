@@ -803,9 +803,11 @@ def _(t):
     return t("embeddings").select("vec_id", F.round(F.aggregate(N.unit(F.col("embedding")), F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
-@query("N16_centred")
+@query("N16_centred", """WITH e AS (SELECT vec_id, label, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding)))::INT AS place FROM embeddings), c AS (SELECT label, place, avg(x) AS m FROM e GROUP BY label, place),
+    d AS (SELECT vec_id, e.label, e.place, x - m AS x FROM e JOIN c ON e.label = c.label AND e.place = c.place)
+    SELECT vec_id, label, place, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 5) + 0.0 AS x FROM d""")
 def _(t):
-    return R.centred(t("embeddings"), "label", "embedding").select("vec_id", "label", F.round(N.norm(F.col("embedding")), 6).alias("norm"))
+    return R.centred(t("embeddings"), "label", "embedding").select("vec_id", "label", F.posexplode("embedding").alias("place", "x")).withColumn("x", F.round("x", 5) + F.lit(0.0))
 
 
 @query("N18_info_nce", f"""WITH p AS (SELECT 0 AS batch, q, vec_id AS i, score / 0.07 AS l FROM ({PAIRS}) WHERE vec_id % 100 = 0),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 from datetime import date
 
@@ -10,6 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder that all machines see: in spark.checkpoint.dir, or in the warehouse where that is unset. The caller's to remove."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """Quoted fields may hold line breaks; without a schema every column is text; bad bytes become replacement marks."""
@@ -18,15 +24,18 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, columns:
     return df.select(*columns) if columns else df
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) of JSON objects, one to a file; a glob reads shards."""
-    whole = spark.read.option("wholetext", True).text(path)
+def read_cache(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(key, value) of JSON objects, one to a file, or one to a line, as write_cache makes them; a glob reads shards.
+
+    Files of lines are split among tasks; one object that fills a file is read by one.
+    """
+    whole = spark.read.option("wholetext", not lines).text(path)
     return whole.select(F.explode(F.from_json("value", "map<string,string>")))
 
 
-def read_tries_cache(spark: SparkSession, path: str) -> DataFrame:
+def read_tries_cache(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(key, desc, tries, file): entries are objects, or, in the old form, the text alone, which counts as one try."""
-    whole = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    whole = spark.read.option("wholetext", not lines).text(path).withColumn("file", F.input_file_name())
     entries = whole.select("file", F.explode(F.from_json("value", "map<string,string>")))
     new = F.from_json("value", "desc string, tries int")
     is_new = F.col("value").rlike(r"^\s*\{")
@@ -34,13 +43,13 @@ def read_tries_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
-    """With a byte-order mark the first column's name carries it."""
+    """With a byte-order mark the first column's name carries it; blanks at the ends of values are kept."""
     names = [("﻿" if bom and k == 0 else "") + c for k, c in enumerate(df.columns)]
-    df.toDF(*names).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.toDF(*names).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_cache(df: DataFrame, path: str, key: str, value: str) -> None:
-    """JSON objects {key: value}, one line for each part of the rows."""
+    """JSON objects {key: value}, one to a line."""
     df.select(F.to_json(F.create_map(F.col(key), F.col(value))).alias("value")).write.mode("overwrite").text(path)
 
 

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import millrace.plans.round_trips  # noqa: F401
 from millrace.plans.catalog_queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
