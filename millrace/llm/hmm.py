@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,25 +26,38 @@ END = " "  # no word holds a blank
 ADD = 0.1
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, A-Z lower-cased, and where each text's begin and the last one's end; a null text has none."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    at, words = np.asarray(found.offsets) - found.offsets[0].as_py(), found.flatten()
+    real = np.asarray(pc.binary_length(words)) > 0  # white space at a text's ends leaves empty parts
+    if not real.all():
+        at, words = np.r_[0, np.cumsum(real)][at], words.filter(pa.array(real))
+    return words, at
+
+
 class Lexicon:
     """Class ids: the head's words, the end, then the hashed classes of all other words."""
 
     def __init__(self, head: bytes, tails: int) -> None:
-        words = head.split(b" ") if head else []
-        self.of = dict(zip(words, range(len(words))))
-        self.end, self.tails = len(words), tails
-        self.size = len(words) + 1 + tails
-
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-        """Class of every word and of the end; the words outside the head."""
-        get = self.of.get
-        ids = [get(w, -1) for w in words]
-        other = [w for w, i in zip(words, ids) if i < 0] if -1 in ids else []
-        out = np.array([*ids, self.end], np.int32)
-        if other:
-            hash64, base, mask = xxhash.xxh64_intdigest, self.end + 1, self.tails - 1
-            out[out < 0] = [base + (hash64(w, 42) & mask) for w in other]
-        return out, other
+        self.words = pa.array(head.decode().split(" ") if head else [], pa.string())
+        self.end, self.tails = len(self.words), tails
+        self.size = len(self.words) + 1 + tails
+
+    def encode(self, texts: pa.Array) -> tuple[list[np.ndarray], list[list[str]]]:
+        """Of every text the classes of its words and of the end, and its words outside the head."""
+        words, at = split_words(texts)
+        found = pc.index_in(words, value_set=self.words.cast(words.type))
+        missing = np.asarray(found.is_null())
+        ids = found.fill_null(-1).to_numpy().copy()
+        other = words.filter(found.is_null()).dictionary_encode()
+        hash64, base, mask = xxhash.xxh64_intdigest, self.end + 1, self.tails - 1
+        distinct = other.dictionary.to_pylist()
+        ids[missing] = np.array([base + (hash64(w, 42) & mask) for w in distinct], np.int32)[np.asarray(other.indices)]
+        out = np.insert(ids, at[1:], self.end).astype(np.int32, copy=False)
+        outside = np.array(distinct, object)[np.asarray(other.indices)].tolist()
+        begin, first = (at + np.arange(len(at))).tolist(), np.r_[0, np.cumsum(missing)][at].tolist()
+        return [out[i:j] for i, j in zip(begin, begin[1:])], [outside[i:j] for i, j in zip(first, first[1:])]
 
 
 class Steps:
@@ -57,22 +71,19 @@ class Steps:
         self.at = np.r_[0, np.cumsum(self.running)]
         rank = np.repeat(np.arange(len(length)), length)
         step = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        self.where = self.at[step] + rank
-        self.before = self.at[step - 1] + rank
-        self.first = step == 0
         self.ids = np.empty(len(rank), np.int32)
-        self.ids[self.where] = np.concatenate([sequences[k] for k in self.order.tolist()])
+        self.ids[self.at[step] + rank] = np.concatenate([sequences[k] for k in self.order.tolist()])
 
 
 def log10_likelihoods(sequences: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
     """Scaled forward recursion, in double precision; emit is (classes, states)."""
     steps = Steps(sequences)
-    total = np.zeros(len(sequences))
+    total, ones = np.zeros(len(sequences)), np.ones(len(start))
     a = None
     for t, n in enumerate(steps.running.tolist()):
         seen = emit[steps.ids[steps.at[t] : steps.at[t + 1]]]
         a = start * seen if t == 0 else (a[:n] @ move) * seen
-        scale = a.sum(axis=1)
+        scale = a @ ones
         total[:n] += np.log10(scale)
         a /= scale[:, None]
     out = np.empty(len(sequences))
@@ -84,25 +95,25 @@ def expected_counts(sequences: list[np.ndarray], start: np.ndarray, move: np.nda
     """Baum-Welch counts (start, moves, emissions by class) of whole texts, and their log likelihood."""
     steps = Steps(sequences)
     seen = emit[steps.ids]
-    ahead, scale = np.empty_like(seen), np.empty(len(seen), seen.dtype)
+    ahead, scale, ones = np.empty_like(seen), np.empty(len(seen), seen.dtype), np.ones(len(start), seen.dtype)
     a = None
     for t, n in enumerate(steps.running.tolist()):
         lo, hi = steps.at[t], steps.at[t + 1]
         a = start * seen[lo:hi] if t == 0 else (a[:n] @ move) * seen[lo:hi]
-        s = a.sum(axis=1)
+        s = a @ ones
         a = a / s[:, None]
         ahead[lo:hi], scale[lo:hi] = a, s
-    back = np.ones_like(seen)
+    back, moves = np.ones_like(seen), np.zeros(move.shape)
     scaled = seen / scale[:, None]
     for t in range(len(steps.running) - 2, -1, -1):
         n, lo, hi = steps.running[t + 1], steps.at[t + 1], steps.at[t + 2]
-        back[steps.at[t] : steps.at[t] + n] = (scaled[lo:hi] * back[lo:hi]) @ move.T
+        after, here = scaled[lo:hi] * back[lo:hi], slice(steps.at[t], steps.at[t] + n)
+        back[here] = after @ move.T
+        moves += ahead[here].T @ after
     state = ahead * back
-    later = steps.where[~steps.first]
-    moves = move * (ahead[steps.before[~steps.first]].T @ (scaled[later] * back[later]))
     starts = state[: len(sequences)].sum(axis=0)
     emitted = np.stack([np.bincount(steps.ids, state[:, k], len(emit)) for k in range(state.shape[1])], axis=1)
-    return starts, moves, emitted, float(np.log(scale, dtype=np.float64).sum())
+    return starts, move * moves, emitted, float(np.log(scale, dtype=np.float64).sum())
 
 
 class Hmm:
@@ -142,24 +153,25 @@ def latent_chain(pairs: np.ndarray, states: int, seed: int, rounds: int = 100) -
     return emit, joint / np.maximum(joint.sum(axis=1, keepdims=True), 1e-300)
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
-
-
 def _count(held: int):
+    """Words with their counts, for about `held` bytes of words together."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        waiting, size = [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            found = pc.value_counts(pa.chunked_array(waiting))
+            return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
 
         for batch in batches:
-            for text in batch.column("_text"):
-                seen.update(_words(text.as_py()))
-                if len(seen) >= held:
-                    yield out()
-                    seen.clear()
-        if seen:
+            words, _ = split_words(batch.column("_text"))
+            if len(words):
+                waiting.append(words)
+                size += words.nbytes
+            if size >= held:
+                yield out()
+                waiting, size = [], 0
+        if waiting:
             yield out()
 
     return lean(run)
@@ -171,7 +183,7 @@ def _encoded(lexicon_bytes, tails: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(lexicon_bytes.value, tails)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([lexicon.encode(_words(x.as_py()))[0].tobytes() for x in batch.column("_text")], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in lexicon.encode(batch.column("_text"))[0]], pa.binary())], ["ids"])
 
     return lean(run)
 
@@ -210,7 +222,7 @@ def score(
     small_batches(spark)
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
     learn = rows.where("_train").select("_text")
-    words = stored(learn.mapInArrow(_count(200_000), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "hmm-words")
+    words = stored(learn.mapInArrow(_count(24 << 20), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "hmm-words")
     ends = learn.count()
     step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
     sizes = sorted(((r["step"], r["v"], r["n"]) for r in words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).collect()), reverse=True)
@@ -348,7 +360,7 @@ def _score(given, lexicon_bytes, tails: int, long: int = 1500, short_tokens: int
                 own = ids[ids <= lexicon.end]
                 tail = Counter(other)
                 value -= float(in_class[ids[ids > lexicon.end] - lexicon.end - 1].sum())  # a word has its count's share of its class
-                rows.append((row, i, not train, len(ids), len(own) - 1 + end_known, float(base[own].sum()), value, len(other), [w.decode() for w in tail], list(tail.values())))
+                rows.append((row, i, not train, len(ids), len(own) - 1 + end_known, float(base[own].sum()), value, len(other), list(tail), list(tail.values())))
             return pa.RecordBatch.from_arrays([pa.array(list(c), k or kind) for c, k in zip(zip(*rows), kinds)], names)
 
         held: dict[bool, list[tuple]] = {False: [], True: []}
@@ -357,8 +369,8 @@ def _score(given, lexicon_bytes, tails: int, long: int = 1500, short_tokens: int
         kind = None
         for batch in batches:
             kind = batch.column("_id").type
-            for row, i, train, text in zip(batch.column("_row").to_pylist(), batch.column("_id").to_pylist(), batch.column("_train").to_pylist(), batch.column("_text")):
-                ids, other = lexicon.encode(_words(text.as_py()))
+            coded, others = lexicon.encode(batch.column("_text"))
+            for row, i, train, ids, other in zip(batch.column("_row").to_pylist(), batch.column("_id").to_pylist(), batch.column("_train").to_pylist(), coded, others):
                 which = len(ids) > long
                 held[which].append((row, i, train, other, ids))
                 size[which] += len(ids)
