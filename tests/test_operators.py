@@ -1,4 +1,6 @@
 import math
+import random
+import re
 from datetime import date
 
 import pytest
@@ -212,3 +214,44 @@ def test_checkpoint_takes_rows_without_a_key_once(spark, tmp_path):
         assert S.append_checkpoint(rows, path, "k").count() == 2
     (tmp_path / "empty").mkdir()
     assert S.append_checkpoint(rows, str(tmp_path / "empty"), "k").count() == 2
+
+
+def test_exact_pairs_are_those_of_brute_force(spark):
+    draw = random.Random(5)
+    texts = []
+    for n in [*range(1, 40), 60, 90, 150, 400, 900]:
+        base = [f"w{draw.randrange(5000)}" for _ in range(n)]
+        for changed in (0, 1, 1, 2, n // 40, n // 25, n // 25, n // 20):
+            other = list(base)
+            for _ in range(changed):
+                other[draw.randrange(len(other))] = f"y{draw.randrange(9)}"
+            texts.append(" ".join(other[: draw.choice([n, n, n - n // 30, n - n // 6])] or base))
+        texts += [" ".join(base).upper(), " ".join(base), " ".join(base[: n // 2] + ["the same closing words stand here"])]
+    texts += ["", None, "...", " ".join(f"w{k % 7}" for k in range(300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    first = {}
+    for k, t in enumerate(texts):
+        first.setdefault(t, k)
+    sets = {}
+    for t, k in first.items():
+        w = re.findall("[a-z0-9']+", (t or "").lower())
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    every = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b and x & y}
+    for least, few, cap in ((0.8, 32, 512), (0.8, 2, 3), (0.5, 4, 5)):
+        got = {(r.a, r.b): r.jaccard for r in D.exact_jaccard_pairs(df, "id", "t", least, few, cap).collect()}
+        assert got == {p: j for p, j in every.items() if j >= least}
+
+
+def test_exact_pairs_shuffle_less_than_the_texts(spark):
+    draw = random.Random(6)
+    texts = [" ".join(f"w{draw.randrange(100_000)}" for _ in range(500)) for _ in range(400)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, *(f"{t} more" for t in texts[:20])])], "id long, t string")
+    jvm, store = spark.sparkContext._gateway.jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = written()
+    assert D.exact_jaccard_pairs(df, "id", "t", 0.8).count() == 20
+    assert written() - before < 2 * sum(map(len, texts))
